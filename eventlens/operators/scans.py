@@ -7,7 +7,7 @@ more than one sort partition, however many rows share a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventlens.session import cut
 
 POSITION = "_position"
+AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def positioned(df: DataFrame, order: Sequence[Column], name: str = POSITION) -> DataFrame:
@@ -22,46 +23,64 @@ def positioned(df: DataFrame, order: Sequence[Column], name: str = POSITION) ->
     return cut(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
 
 
+def _merge(how: str, left: Column, right: Column) -> Column:
+    if how == "sum":
+        return F.when(left.isNull(), right).otherwise(left + F.coalesce(right, F.lit(0)))
+    better = left >= right if how == "max" else left <= right
+    return F.when(right.isNull() | better, left).otherwise(right)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    value: Column,
-    name: str,
-    how: str = "sum",
+    values: dict[str, tuple[str, Column]],
     before: bool = False,
-    position: str = POSITION,
     descending: bool = False,
+    position: str = POSITION,
 ) -> DataFrame:
-    """Add ``how`` (sum, max, min) of ``value`` over the rows up to each row of its key.
+    """Add running values per key along ``position``.
 
-    ``before`` leaves the row itself out; ``descending`` runs from the end.
+    ``values`` maps a new column to ``(how, value)`` with how in sum, max, min. ``before``
+    leaves each row itself out; ``descending`` runs from the end.
     """
-    aggregate: Callable = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    merge: Callable = {
-        "sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))),
-        "max": F.greatest,
-        "min": F.least,
-    }[how]
-    part = f"{name}_part"
+    part = "_part"
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    keyed = df.withColumn(part, F.shiftright(position, 33)).withColumn(f"{name}_value", value)
-    totals = keyed.groupBy(*keys, part).agg(aggregate(f"{name}_value").alias(f"{name}_total"))
+    keyed = df.select(
+        "*",
+        F.shiftright(position, 33).alias(part),
+        *[value.alias(f"_v_{name}") for name, (_, value) in values.items()],
+    )
+    totals = keyed.groupBy(*keys, part).agg(
+        *[AGGREGATES[how](f"_v_{name}").alias(f"_t_{name}") for name, (how, _) in values.items()]
+    )
     across = Window.partitionBy(*keys).orderBy(direction(part)).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    shifts = totals.withColumn(
-        f"{name}_shift", aggregate(f"{name}_total").over(across)
-    ).drop(f"{name}_total")
+    shifts = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col(part).alias("_k_part"),
+        *[AGGREGATES[how](f"_t_{name}").over(across).alias(f"_s_{name}")
+          for name, (how, _) in values.items()],
+    )
     inside = Window.partitionBy(*keys, part).orderBy(direction(position)).rowsBetween(
         Window.unboundedPreceding, -1 if before else Window.currentRow
     )
-    local = keyed.withColumn(f"{name}_local", aggregate(f"{name}_value").over(inside))
-    condition = local[part] == shifts[part]
+    local = keyed.select(
+        *df.columns,
+        part,
+        *[AGGREGATES[how](f"_v_{name}").over(inside).alias(f"_l_{name}")
+          for name, (how, _) in values.items()],
+    )
+    condition = F.col(part) == F.col("_k_part")
     for key in keys:
-        condition = condition & local[key].eqNullSafe(shifts[key])
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     return local.join(shifts, condition, "left").select(
-        *[local[c] for c in df.columns],
-        merge(F.col(f"{name}_shift"), F.col(f"{name}_local")).alias(name),
+        *df.columns,
+        *[_merge(how, F.col(f"_s_{name}"), F.col(f"_l_{name}")).alias(name)
+          if how == "sum" else
+          F.when(F.col(f"_s_{name}").isNull(), F.col(f"_l_{name}"))
+          .otherwise(_merge(how, F.col(f"_s_{name}"), F.col(f"_l_{name}"))).alias(name)
+          for name, (how, _) in values.items()],
     )
 
 
@@ -69,5 +88,5 @@ def prefix_within(
     df: DataFrame, keys: Sequence[str], amount: Column, limit, order: Sequence[Column]
 ) -> DataFrame:
     """The leading rows of every key whose running (non-negative) amount stays within ``limit``."""
-    totals = running(positioned(df, order), keys, amount, "running_total")
+    totals = running(positioned(df, order), keys, {"running_total": ("sum", amount)})
     return totals.where(F.col("running_total") <= limit).drop(POSITION)
