@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.operators import events
-from eventlens.session import prepare, small
+from eventlens.session import cut, prepare, small
 
 AS_OF = "2024-01-31 00:00:00"
 SUBSCRIPTION_AS_OF = "2001-06-01 00:00:00"
@@ -201,16 +201,18 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Tables:
+    """The whole set. Memberships and clusters are stored tables in production, so they are
+    written once here and then read by every part of a query."""
     registry = sources(spark, sf_dir)
     article = articles(spark, sf_dir)
     seen = observations(spark, sf_dir)
-    member = members(spark, sf_dir)
+    member = cut(members(spark, sf_dir))
     return Tables(
         sources=registry,
         articles=article,
         observations=seen,
         members=member,
-        clusters=clusters(spark, sf_dir, member, article, seen, registry),
+        clusters=cut(clusters(spark, sf_dir, member, article, seen, registry)),
         users=users(spark, sf_dir),
         user_topics=user_topics(spark, sf_dir),
     )

@@ -29,6 +29,7 @@ def session(cpus: str = "*", partitions: int = 8, memory: str = "20g") -> SparkS
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("eventlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
