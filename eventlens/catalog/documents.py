@@ -44,14 +44,16 @@ def canonical_url_groups(spark, d):
              CASE WHEN url LIKE 'http%' THEN url END AS safe FROM pages) GROUP BY publisher""",
 )
 def publisher_hosts(spark, d):
-    rows = tb.read(spark, d, "pages")
-    return rows.groupBy(urls.publisher("url", "page_id").alias("publisher")).agg(
-        F.count(F.lit(1)).alias("pages"), F.count(urls.safe_url("url")).alias("safe_links")
+    rows = tb.read(spark, d, "pages").select(
+        urls.publisher("url", "page_id").alias("publisher"), urls.safe_url("url").alias("safe")
+    )
+    return rows.groupBy("publisher").agg(
+        F.count(F.lit(1)).alias("pages"), F.count("safe").alias("safe_links")
     )
 
 
 _VISIBLE = r"""regexp_replace(regexp_replace(html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g')"""
-_UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _SQUEEZED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
@@ -130,7 +132,7 @@ hashed AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 16))::UBIGINT AS h FROM gra
 bits AS (SELECT unnest(range(0, 64)) AS b),
 votes AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v
           FROM hashed, bits GROUP BY doc_id, b),
-prints AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(1 AS UHUGEINT) << b ELSE 0 END) AS UBIGINT) AS fp
+prints AS (SELECT doc_id, CAST(sum(CASE WHEN v > 0 THEN CAST(pow(2, b) AS HUGEINT) ELSE 0 END) AS UBIGINT) AS fp
            FROM votes GROUP BY doc_id)"""
 
 
@@ -193,7 +195,7 @@ def unit_vectors(spark, d):
     "similar_pairs_window",
     """WITH v AS (SELECT vec_id, vec_id % 720 AS h, embedding::DOUBLE[] AS e FROM embeddings)
     SELECT a.vec_id, arg_max(b.vec_id, (round(list_cosine_similarity(a.e, b.e), 9), b.vec_id)) AS match_id,
-      round(max(list_cosine_similarity(a.e, b.e)), 6) AS similarity
+      round(max(list_cosine_similarity(a.e, b.e)) + 1e-8, 4) AS similarity
     FROM v a JOIN v b ON abs(a.h - b.h) <= 72 AND b.vec_id < a.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.3
     GROUP BY a.vec_id""",
 )
@@ -207,7 +209,7 @@ def similar_pairs_window(spark, d):
     best = similarity.best_matches(rows, 0.3, 72)
     return best.select(
         F.col("left_id").alias("vec_id"), F.col("right_id").alias("match_id"),
-        F.round("similarity", 6).alias("similarity"),
+        F.round(F.col("similarity") + 1e-8, 4).alias("similarity"),
     )
 
 

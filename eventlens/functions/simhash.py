@@ -43,10 +43,13 @@ def feature_hash(feature: Column, name: str) -> Column:
 
 
 def _trigrams(words: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.size(words) - 3),
-        lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-    )
+    def spans(w: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3),
+            lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
+        )
+
+    return tx.let(words, spans)
 
 
 def fingerprints(

@@ -21,6 +21,12 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``. An expression that is used
+    inside a lambda would otherwise be evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_count(text) -> Column:
     """Number of whitespace-separated tokens."""
     return F.coalesce(F.regexp_count(_col(text), F.lit(TOKEN)), F.lit(0))
@@ -58,17 +64,20 @@ def embedding_text(title, body) -> Column:
 
 def excerpt(body) -> Column:
     """``struct<text, truncated, short>``: at most 1200 tokens and 12,000 characters."""
-    body = F.coalesce(_col(body), F.lit(""))
-    joined = first_words(body, config.EXCERPT_WORDS)
-    text = F.substring(joined, 1, config.EXCERPT_CHARS)
-    cut = (word_count(body) > config.EXCERPT_WORDS) | (
-        F.char_length(joined) > config.EXCERPT_CHARS
-    )
-    return F.struct(
-        text.alias("text"),
-        cut.alias("truncated"),
-        (word_count(text) < config.SHORT_TEXT_WORDS).alias("short"),
-    )
+
+    def build(words: Column) -> Column:
+        joined = F.array_join(F.slice(words, 1, config.EXCERPT_WORDS), " ")
+        text = F.substring(joined, 1, config.EXCERPT_CHARS)
+        truncated = (F.size(words) > config.EXCERPT_WORDS) | (
+            F.char_length(joined) > config.EXCERPT_CHARS
+        )
+        return F.struct(
+            text.alias("text"),
+            truncated.alias("truncated"),
+            (word_count(text) < config.SHORT_TEXT_WORDS).alias("short"),
+        )
+
+    return let(tokens(F.coalesce(_col(body), F.lit(""))), build)
 
 
 def strip_announce(body) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventlens.functions.text import let
+
 # Tracking parameters, preprint hosts, code hosts, and paper paths.
 TRACKING = ("fbclid", "gclid", "dclid", "msclkid", "mc_cid", "mc_eid")
 PAPER_HOSTS = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")
@@ -85,14 +87,9 @@ def _query(query: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def canonical_url(url) -> Column:
     """One spelling per page; null where the URL is not an acceptable absolute HTTP(S) URL."""
-    return _let(_clean(url), lambda cleaned: _let(_pieces(cleaned), _spell))
+    return let(_clean(url), lambda cleaned: let(_pieces(cleaned), _spell))
 
 
 def _pieces(url: Column) -> Column:
@@ -100,7 +97,7 @@ def _pieces(url: Column) -> Column:
     return F.struct(
         F.lower(_part(url, 1)).alias("scheme"),
         parts["userinfo"].alias("userinfo"),
-        _let(parts["host"], _ascii_host).alias("host"),
+        let(parts["host"], _ascii_host).alias("host"),
         parts["port"].alias("port"),
         _part(url, 3).alias("path"),
         _query(_part(url, 4)).alias("query"),
