@@ -299,11 +299,11 @@ def inventory(spark, d):
     )
 
 
-_SUBJECT = r"""regexp_matches(title || ' ' || body, '(?i)\b(ai|artificial intelligence|machine learning|deep learning|llms?|gpt[\w.-]*|openai|anthropic|claude|gemini|llama|mistral|qwen|deepseek|neural|diffusion|transformers?|pytorch|tensorflow|hugging\s?face|computer vision|reinforcement learning|fine.tun\w*|et|la|the)\b')"""
+_SUBJECT = r"""regexp_matches(title || ' ' || body, '(?i)(^|[^\p{L}\p{N}_])(ai|artificial intelligence|machine learning|deep learning|llms?|gpt[\w.-]*|openai|anthropic|claude|gemini|llama|mistral|qwen|deepseek|neural|diffusion|transformers?|pytorch|tensorflow|hugging\s?face|computer vision|reinforcement learning|fine.tun\w*)($|[^\p{L}\p{N}_])')"""
 _ADMITTED = f"""admitted AS (
   SELECT a.*, s.ai_filter, CASE
     WHEN published_at < {s.MID} - INTERVAL 7 DAY OR published_at > {s.MID} + INTERVAL 1 HOUR THEN 'outside_window'
-    WHEN ai_filter AND NOT {_SUBJECT.replace('|et|la|the', '')} THEN 'off_subject' ELSE 'admitted' END AS admission
+    WHEN ai_filter AND NOT {_SUBJECT} THEN 'off_subject' ELSE 'admitted' END AS admission
   FROM articles a JOIN sources s USING (source_id))"""
 
 

@@ -177,21 +177,19 @@ def date_label(timestamp) -> Column:
     return F.coalesce(F.date_format(_col(timestamp), "MMM d"), F.lit("Date unavailable"))
 
 
-# Date spellings accepted in feeds, RFC 822 first, then ISO 8601.
+# Date spellings accepted in feeds besides ISO 8601, after the day name.
 DATE_FORMATS = (
-    "EEE, d MMM yyyy HH:mm:ss z",
-    "EEE, d MMM yyyy HH:mm:ss Z",
     "d MMM yyyy HH:mm:ss z",
     "d MMM yyyy HH:mm:ss Z",
-    "EEE, d MMM yyyy HH:mm z",
-    "EEE, d MMM yyyy HH:mm Z",
+    "d MMM yyyy HH:mm z",
+    "d MMM yyyy HH:mm Z",
 )
 
 
 def feed_date(text) -> Column:
-    text = _col(text)
-    zoned = F.regexp_replace(text, r"\b(?:UT|Z)$", "GMT")
-    rfc = [F.try_to_timestamp(zoned, F.lit(pattern)) for pattern in DATE_FORMATS]
+    text = F.btrim(_col(text))
+    plain = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]+,\s*", ""), r"\b(?:UT|Z)$", "GMT")
+    rfc = [F.try_to_timestamp(plain, F.lit(pattern)) for pattern in DATE_FORMATS]
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
     return F.coalesce(iso, *rfc)
 
