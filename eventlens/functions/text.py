@@ -13,7 +13,10 @@ from eventlens import config
 
 # The characters a whitespace split separates on, and the word characters.
 SPACE = r"[\s\x1c-\x1f\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-TOKEN = SPACE.replace("[", "[^", 1) + "+"
+WIDE_SPACES = "".join(
+    map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+TOKEN = r"\S+"
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -27,14 +30,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _plain_spaces(text) -> Column:
+    """Rare separators as blanks, so that the token pattern can be the cheap one."""
+    return F.translate(_col(text), WIDE_SPACES, " " * len(WIDE_SPACES))
+
+
 def word_count(text) -> Column:
     """Number of whitespace-separated tokens."""
-    return F.coalesce(F.regexp_count(_col(text), F.lit(TOKEN)), F.lit(0))
+    return F.coalesce(F.regexp_count(_plain_spaces(text), F.lit(TOKEN)), F.lit(0))
 
 
 def tokens(text) -> Column:
     """Whitespace-separated tokens."""
-    return F.regexp_extract_all(_col(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(_plain_spaces(text), F.lit(TOKEN), F.lit(0))
 
 
 def squeeze(text) -> Column:

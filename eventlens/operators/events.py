@@ -39,14 +39,13 @@ def source_authority(observations: DataFrame, sources: DataFrame) -> DataFrame:
 
 def article_quality(articles: DataFrame, authority: DataFrame) -> DataFrame:
     """Narrow table of the three keys that choose a representative."""
+    texts = articles.select(
+        "article_id", "title", "canonical_url", event_time().alias("event_time"), "body"
+    )
     return (
-        articles.select(
-            "article_id",
-            "title",
-            "canonical_url",
-            event_time().alias("event_time"),
-            tx.word_count("body").alias("words"),
-        )
+        texts
+        .withColumn("words", tx.word_count("body"))
+        .drop("body")
         .join(authority, "article_id", "left")
         .withColumn("authority", F.coalesce("authority", F.lit(1)))
     )

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from eventlens.config import DEFAULTS
 from eventlens.functions.simhash import hamming
 from eventlens.operators import scans
+from eventlens.session import cut
 
 BUCKET_TARGET = 8
 WIDEST = 3
@@ -90,13 +91,14 @@ def near_duplicates(
     is the tail of one block plus the head of the next, and its minimum comes from two
     running minima instead of pairing rows.
     """
-    rows = articles.where(F.col("fingerprint").isNotNull()).select(
+    narrow = articles.where(F.col("fingerprint").isNotNull()).select(
         "article_id",
         "fingerprint",
         "words",
         F.unix_micros(F.col("event_time").cast("timestamp")).alias("at"),
         F.struct(F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched"), "article_id").alias("rank"),
     )
+    rows = cut(narrow)  # fingerprints are costly and read several times below
     points = rows.groupBy("fingerprint", "words", "at").agg(F.min("rank").alias("rank"))
     nodes = points.select("fingerprint", "words").distinct()
     prints = nodes.select("fingerprint").distinct()

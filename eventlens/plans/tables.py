@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.operators import events
-from eventlens.session import cut, prepare, small
+from eventlens.session import cut, prepare, small, spread
 
 AS_OF = "2024-01-31 00:00:00"
 SUBSCRIPTION_AS_OF = "2001-06-01 00:00:00"
@@ -32,7 +32,9 @@ class Tables:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table. The small files hold a single row group, which would leave the whole
+    first stage to one task, so inputs below the size limit of ``spread`` are dealt out."""
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

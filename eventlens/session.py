@@ -86,6 +86,15 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
+    """Deal a small input, which may be one row group, out to all cores before costly
+    per-row work. Larger inputs have enough splits of their own and stay where they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > most:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the side has at most ``limit`` rows."""
     rows = df.limit(limit + 1).count()

@@ -10,7 +10,9 @@ from eventlens.functions import text as tx
 
 def page_text(pages: DataFrame) -> DataFrame:
     """``(page_id, text)``: all visible text."""
-    return pages.select("page_id", tx.html_to_text("html").alias("text"))
+    return pages.select(
+        "page_id", tx.html_to_text("html").alias("text")
+    )
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
