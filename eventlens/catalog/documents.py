@@ -410,6 +410,36 @@ def source_report(spark, d):
     return batches.source_report(known, tb.articles(spark, d), outcomes).select("source", "status", "items", "error")
 
 
+@query(
+    "source_health",
+    s.prelude(s.SOURCES) + """ SELECT source_id, name, type, CASE WHEN authority_score > 5 THEN 'api' END AS fetch_mode,
+      CAST(NULL AS VARCHAR) AS scope_note, is_active FROM sources""",
+)
+def source_health(spark, d):
+    mode = F.to_json(F.struct(F.when(F.col("authority_score") > 5, "api").alias("fetch_mode")))
+    rows = registry.source_health(tb.sources(spark, d).withColumn("config", F.try_parse_json(mode)))
+    return rows.select("source_id", "name", "type", "fetch_mode", "scope_note", "is_active")
+
+
+@query(
+    "source_fallback",
+    """WITH n AS (SELECT doc_id, source, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 5 AS k FROM documents)
+    SELECT doc_id, CASE WHEN k IN (0, 1) THEN 'api' ELSE 'rss_fallback' END AS fetch_mode FROM n
+    WHERE (k IN (0, 1) AND doc_id % 2 = 0) OR (k IN (2, 3) AND doc_id % 2 = 1)""",
+)
+def source_fallback(spark, d):
+    """Sources answer, answer, fail with 429, time out, or fail for good (404)."""
+    docs = tb.read(spark, d, "documents").select(F.col("source").alias("source_id"), "doc_id")
+    kind = F.regexp_extract("source_id", r"(\d+)", 1).cast("int") % 5
+    codes = F.array(F.lit(200), F.lit(304), F.lit(429), F.lit(None).cast("int"), F.lit(404))
+    status = tb.sources(spark, d).select(
+        "source_id", F.element_at(codes, kind + 1).alias("http_status"), (kind == 3).alias("timed_out"),
+        F.lit(None).cast("int").alias("retry_after_seconds"),
+    )
+    rows = feeds.with_fallback(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), status)
+    return rows.select("doc_id", "fetch_mode")
+
+
 @query(
     "source_state",
     """WITH errs AS (SELECT source, doc_id, 'e' || doc_id AS error FROM documents WHERE doc_id % 9 = 0 AND source <> 'src1'),
