@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventlens import config
 from eventlens.catalog import big, listed, query, stamp
 from eventlens.catalog import sql as s
-from eventlens.functions import numbers as nm
 from eventlens.functions import simhash, urls, vectors
 from eventlens.functions import text as tx
 from eventlens.operators import admission, assignment, events, evidence, identity, near_dup
