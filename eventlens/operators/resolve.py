@@ -7,8 +7,9 @@ over those values are replayed independently. Fingerprint links ignore time on p
 article can take its text from one candidate and its date from another.
 
 Replay sees hashes and lengths only, never texts. A component above ``CHUNK_ROWS`` candidates
-is replayed in consecutive chunks, each starting from the state the previous one wrote, so no
-task holds more than one chunk of a component, however large that is.
+is replayed in consecutive chunks, each starting from the state the previous one wrote, so a
+task holds one chunk of candidates plus the component's distinct articles and URL aliases. The
+latter are not split yet: a component with very many distinct articles is still one task.
 """
 
 from __future__ import annotations
