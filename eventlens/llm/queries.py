@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, preference
+from eventlens.llm import exact_dedup, preference, toxicity
 from eventlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,13 @@ SELECT pair_id, part, turn, role, piece,
 FROM pieces
 """
 
+def op3_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, directory, "labels")))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op5_preference_format": op5_preference_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
