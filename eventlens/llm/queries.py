@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, preference, toxicity
+from eventlens.llm import exact_dedup, metric_join, preference, toxicity
 from eventlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +75,15 @@ def op3_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, directory, "labels")))
 
 
+def op10_metric_join(spark: SparkSession, directory: str) -> DataFrame:
+    return metric_join.range_join(table(spark, directory, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op5_preference_format": op5_preference_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_metric_join": op10_metric_join,
 }
 ORACLES: dict[str, str] = {
     "op5_preference_format": OP5_SQL,
