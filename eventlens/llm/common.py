@@ -16,3 +16,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file of the installed collection; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

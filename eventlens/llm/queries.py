@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, metric_join, preference, toxicity
-from eventlens.llm.common import table
+from eventlens.llm import exact_dedup, metric_join, packing, preference, token_files, toxicity
+from eventlens.llm.common import table, tokenizer_path
 
+#: Vocabulary files of the tokenizer collection.
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -79,9 +81,21 @@ def op10_metric_join(spark: SparkSession, directory: str) -> DataFrame:
     return metric_join.range_join(table(spark, directory, "embeddings"))
 
 
+def op2_simple8b_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write_tokens(table(spark, directory, "documents"), path, tokenizer_path(WORDS), end_id=1)
+    return token_files.read_tokens(spark, path)
+
+
+def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path(WORDS), end_id=2)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_simple8b_tokens": op2_simple8b_tokens,
     "op3_toxicity": op3_toxicity,
     "op5_preference_format": op5_preference_format,
+    "op7_vector_packing": op7_vector_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_metric_join": op10_metric_join,
 }
