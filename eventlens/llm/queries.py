@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, metric_join, packing, preference, token_files, toxicity
+from eventlens.llm import exact_dedup, metric_join, packing, preference, segment_bpe, token_files, toxicity
 from eventlens.llm.common import table, tokenizer_path
 
 #: Vocabulary files of the tokenizer collection.
@@ -87,6 +87,10 @@ def op2_simple8b_tokens(spark: SparkSession, directory: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def op4_segment_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return segment_bpe.coded(table(spark, directory, "documents"), tokenizer_path(BYTES))
+
+
 def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path(WORDS), end_id=2)
 
@@ -94,6 +98,7 @@ def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op3_toxicity": op3_toxicity,
+    "op4_segment_bpe": op4_segment_bpe,
     "op5_preference_format": op5_preference_format,
     "op7_vector_packing": op7_vector_packing,
     "op9_exact_dedup": op9_exact_dedup,
