@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, metric_join, packing, preference, segment_bpe, token_files, toxicity
+from eventlens.llm import exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, token_files, toxicity
 from eventlens.llm.common import table, tokenizer_path
 
 #: Vocabulary files of the tokenizer collection.
@@ -81,6 +81,10 @@ def op10_metric_join(spark: SparkSession, directory: str) -> DataFrame:
     return metric_join.range_join(table(spark, directory, "embeddings"))
 
 
+def op1_page_diff(spark: SparkSession, directory: str) -> DataFrame:
+    return page_diff.page_texts(table(spark, directory, "pages"))
+
+
 def op2_simple8b_tokens(spark: SparkSession, directory: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write_tokens(table(spark, directory, "documents"), path, tokenizer_path(WORDS), end_id=1)
@@ -96,6 +100,7 @@ def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_page_diff": op1_page_diff,
     "op2_simple8b_tokens": op2_simple8b_tokens,
     "op3_toxicity": op3_toxicity,
     "op4_segment_bpe": op4_segment_bpe,
