@@ -10,6 +10,8 @@ from eventlens.session import prepare
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A test table by Spark's reader, so that any store Spark knows can hold it."""
+    # Texts are long: small Arrow batches keep the Python workers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return prepare(spark).read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces remembered per task; beyond it the dictionary starts anew.
-MOST_PIECES = 1_000_000
+#: Pieces and words remembered per task; beyond it the dictionaries start anew.
+MOST_PIECES, MOST_WORDS = 300_000, 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -111,6 +111,8 @@ class WordEncoder:
         """All ids in order, and the number of ids of each text."""
         if len(self.pieces) > MOST_PIECES:
             self._restart()
+        if len(self.words) > MOST_WORDS:
+            self.words = {}
         column = self._lowered(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "))
         split = pc.split_pattern(column, " ")
         coded = split.flatten().dictionary_encode()
@@ -126,7 +128,7 @@ class WordEncoder:
         return ids, np.diff(ends[bounds])
 
 
-def in_slices(texts: list[str | None], most: int = 16_000_000):
+def in_slices(texts: list[str | None], most: int = 1_500_000):
     """Consecutive slices ``(from, to)`` of at most about ``most`` characters each."""
     start, size = 0, 0
     for k, text in enumerate(texts):

@@ -37,7 +37,7 @@ CROSSING = regex.compile(r" (?=\s)| $|\x00")
 NONE = np.int64(1) << 62
 #: Words of at most this many pairs are merged side by side.
 WIDEST = 64
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 
 class Ranks:
