@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, token_files, toxicity
+from eventlens.llm import bagminhash, exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, token_files, toxicity
 from eventlens.llm.common import table, tokenizer_path
 
 #: Vocabulary files of the tokenizer collection.
@@ -95,6 +95,10 @@ def op4_segment_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return segment_bpe.coded(table(spark, directory, "documents"), tokenizer_path(BYTES))
 
 
+def op6_bagminhash(spark: SparkSession, directory: str) -> DataFrame:
+    return bagminhash.near_classes(table(spark, directory, "documents"))
+
+
 def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path(WORDS), end_id=2)
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_segment_bpe": op4_segment_bpe,
     "op5_preference_format": op5_preference_format,
+    "op6_bagminhash": op6_bagminhash,
     "op7_vector_packing": op7_vector_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_metric_join": op10_metric_join,
