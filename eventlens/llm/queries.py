@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bagminhash, exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, token_files, toxicity
+from eventlens.llm import bagminhash, exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, suffixes, token_files, toxicity
 from eventlens.llm.common import table, tokenizer_path
 
 #: Vocabulary files of the tokenizer collection.
@@ -103,6 +103,10 @@ def op7_vector_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_path(WORDS), end_id=2)
 
 
+def op8_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return suffixes.repeats_removed(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_page_diff": op1_page_diff,
     "op2_simple8b_tokens": op2_simple8b_tokens,
@@ -111,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op5_preference_format": op5_preference_format,
     "op6_bagminhash": op6_bagminhash,
     "op7_vector_packing": op7_vector_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_metric_join": op10_metric_join,
 }
