@@ -64,7 +64,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_exact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns kept; rows that repeat an id stay together."""
-    dropped = exact_groups(docs, id_column, text_column).where(~F.col("kept"))
-    out = dropped.select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(out, docs[id_column].eqNullSafe(out["_dropped_id"]), "left_anti")
+    """The rows of ``docs`` that stay, all columns kept; rows that repeat an id and its text stay
+    together, and null ids are told apart by their texts."""
+    groups = exact_groups(docs, id_column, text_column)
+    out = groups.where(~F.col("kept")).select(
+        F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_text")
+    ).distinct()
+    same_id = docs[id_column].eqNullSafe(out["_dropped_id"])
+    same_text = F.sha2(squeezed(text_of(text_column)), 256) == out["_dropped_text"]
+    return docs.join(out, same_id & same_text, "left_anti")

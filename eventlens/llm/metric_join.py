@@ -41,13 +41,17 @@ SAMPLE_ROWS, MOST_PIVOTS, BLOCK = 8_192, 256, 2_048
 SLACK = 1e-6
 
 
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(1)[:, None]
+    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Equal-length lists of floats as a matrix of unit rows."""
     width = len(column[0]) if len(column) else 0
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), width)
-    rows = rows / np.abs(rows).max(1)[:, None]  # no overflow in the squares
-    return rows / np.sqrt((rows * rows).sum(1))[:, None]
+    return _units(flat.reshape(len(column), width))
 
 
 def _pivots(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -60,8 +64,7 @@ def _pivots(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         by.setdefault((r["label"], r["width"]), []).append(r["embedding"])
     out = {}
     for key, vectors in by.items():
-        m = np.asarray(vectors, np.float64)
-        m /= np.sqrt((m * m).sum(1))[:, None]
+        m = _units(np.asarray(vectors, np.float64))
         share = total * len(m) / max(1, len(sample))
         most = min(MOST_PIVOTS, len(m), max(4, math.ceil(share / BLOCK)))
         chosen = [0]
