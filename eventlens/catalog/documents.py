@@ -477,11 +477,20 @@ def _clean_text(column):
     return F.regexp_replace(column, r"[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
 
 
+# What a feed reader makes of a whole document: markup stripped, references decoded, blanks collapsed.
+_BODY_MD5 = "md5(" + _SQUEEZED.format(
+    _UNESCAPED.format(
+        r"regexp_replace(regexp_replace(body, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'),"
+        r" '<[/!?A-Za-z][^>]*>', ' ', 'g')"
+    )
+) + ")"
+
+
 def _payloads(spark, d, kind: str):
     """Feed payloads of at most ten documents each."""
     docs = tb.articles(spark, d).withColumn("payload_id", F.expr("article_id div 10"))
     title = _escaped(F.concat(F.lit("Doc "), "article_id"))
-    body = _escaped(_clean_text(tx.first_words("body", 30)))
+    body = _escaped(_clean_text(F.col("body")))
     if kind == "rss":
         entry = F.concat(
             F.lit("<item><title>"), title, F.lit("</title>"),
@@ -512,13 +521,13 @@ def _payloads(spark, d, kind: str):
     s.prelude(s.ARTICLES) + r""" SELECT article_id // 10 AS payload_id, CAST(article_id % 10 AS INTEGER) AS position,
       'https://lab.example/a/' || article_id || '?utm_source=x' AS url,
       CASE WHEN article_id % 3 = 0 THEN 'g' || article_id ELSE 'https://lab.example/a/' || article_id || '?utm_source=x' END AS external_id,
-      'Doc ' || article_id AS title, 'feed_summary' AS body_kind,
+      'Doc ' || article_id AS title, 'feed_summary' AS body_kind, """ + _BODY_MD5 + r""" AS body_md5,
       strftime(published_at, '%Y-%m-%d %H:%M:%S.%f') AS published_at
     FROM articles WHERE article_id % 10 < 8 AND article_id % 8 <> 0 AND (article_id // 10) % 7 <> 6""",
 )
 def feed_candidates(spark, d):
     rows = feeds.parse_feeds(_payloads(spark, d, "rss"), 8)
-    return rows.select("payload_id", "position", "url", "external_id", "title", "body_kind", stamp("published_at"))
+    return rows.select("payload_id", "position", "url", "external_id", "title", "body_kind", F.md5("body").alias("body_md5"), stamp("published_at"))
 
 
 @query(
@@ -533,12 +542,14 @@ def rejected_payloads(spark, d):
     "paper_candidates",
     s.prelude(s.ARTICLES) + r""" SELECT article_id // 10 AS payload_id,
       'http://arxiv.org/abs/' || CASE WHEN article_id < 1000 THEN lpad(CAST(article_id AS VARCHAR), 4, '0') ELSE substr(CAST(article_id AS VARCHAR), 1, 4) END || '.00001v1' AS external_id,
-      'Paper Doc ' || article_id AS title, 'A, B' AS author, 'abstract' AS body_kind
+      'Paper Doc ' || article_id AS title, 'A, B' AS author, 'abstract' AS body_kind, """ + _BODY_MD5 + r""" AS body_md5
     FROM articles WHERE (article_id // 10) % 7 <> 6""",
 )
 def paper_candidates(spark, d):
     rows = feeds.parse_arxiv_atom(_payloads(spark, d, "atom"), 100)
-    return rows.select("payload_id", "external_id", "title", "author", "body_kind")
+    return rows.select(
+        "payload_id", "external_id", "title", "author", "body_kind", F.md5("body").alias("body_md5")
+    )
 
 
 @query(

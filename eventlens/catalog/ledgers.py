@@ -10,7 +10,10 @@ from eventlens.operators import contracts, feed, ledger
 from eventlens.plans import tables as tb
 
 # Landed outputs built from the conversations: well formed and spoiled in turn.
-_PIECES = "string_split(text, '. ')[1:CAST(2 + conv_id % 5 AS INTEGER)]"
+_PIECES = (
+    "list_append(string_split(text, '. ')[1:CAST(1 + conv_id % 5 AS INTEGER)], "
+    "array_to_string(string_split(text, '. ')[CAST(2 + conv_id % 5 AS INTEGER):], '. '))"
+)
 _SUMMARIES = f"""summaries AS (
   SELECT conv_id * 1000 + turn AS call_id, CASE (conv_id + turn) % 6
     WHEN 1 THEN CAST(json_object('sentences', {_PIECES}, 'note', 'x') AS VARCHAR)
@@ -26,7 +29,10 @@ def _outputs(spark, d, build):
 
 
 def _summary_content(_):
-    pieces = F.slice(F.split("text", r"\. "), F.lit(1), (F.col("conv_id") % 5 + 2).cast("int"))
+    # The first sentences one by one, all the rest as the last.
+    split, first = F.split("text", r"\. "), (F.col("conv_id") % 5 + 1).cast("int")
+    rest = F.slice(split, first + 1, F.greatest(F.lit(0), F.size(split) - first))
+    pieces = F.array_append(F.slice(split, F.lit(1), first), F.array_join(rest, ". "))
     kind = (F.col("conv_id") + F.col("turn")) % 6
     return (
         F.when(kind == 1, F.to_json(F.struct(pieces.alias("sentences"), F.lit("x").alias("note"))))
@@ -94,18 +100,20 @@ def analysis_violations(spark, d):
 
 @query(
     "violation_report",
-    """WITH k AS (SELECT turn % 2 AS parity, conv_id + turn AS key FROM conversations)
+    """WITH k AS (SELECT turn % 2 AS parity, conv_id + turn AS key, text FROM conversations)
     SELECT parity, violation, count(*) AS outputs FROM (
       SELECT parity, 'event_type' AS violation FROM k WHERE key % 5 = 0
       UNION ALL SELECT parity, 'hype_check' FROM k WHERE key % 11 = 0
       UNION ALL SELECT parity, 'keys' FROM k WHERE key % 13 = 0
+      UNION ALL SELECT parity, 'technical_significance' FROM k WHERE key % 7 NOT IN (0, 5)
+      UNION ALL SELECT parity, 'why_it_matters' FROM k WHERE length(trim(text, ' ' || chr(10))) NOT BETWEEN 1 AND 2400
+      UNION ALL SELECT parity, 'code_paper_links' FROM k WHERE key % 4 IN (0, 1)
       UNION ALL SELECT parity, 'who_should_care' FROM k WHERE key % 3 = 0) GROUP BY parity, violation""",
 )
 def violation_report(spark, d):
     rows = _outputs(spark, d, _analysis_content).withColumn("parity", F.col("call_id") % 1000 % 2)
     checked = rows.withColumn("violations", contracts.analysis_violations("content"))
-    shown = F.col("violation").isin("event_type", "hype_check", "keys", "who_should_care")
-    return contracts.violation_report(checked, "parity").where(shown)
+    return contracts.violation_report(checked, "parity")
 
 
 def _payload(_):
@@ -146,7 +154,7 @@ _CALLS = """calls AS (
   SELECT conv_id * 1000 + turn AS call_id, conv_id % 50 AS run_id, conv_id AS cluster_id,
     CASE WHEN turn % 2 = 0 THEN 'summary' ELSE 'analysis' END AS stage,
     CASE WHEN turn % 2 = 0 THEN 'deepseek-flash' ELSE 'deepseek-v4-pro' END AS model,
-    md5(substr(text, 1, 12)) AS cache_key,
+    md5(text) AS cache_key,
     CASE WHEN role = 'system' THEN 'started' WHEN role = 'user' AND conv_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS status,
     strlen(text) AS size, strlen(text) // 4 AS cached, len(regexp_extract_all(text, '\\S+')) AS words,
     CASE WHEN turn % 2 = 0 THEN 0.006 ELSE 0.044 END AS hit, CASE WHEN turn % 2 = 0 THEN 0.30 ELSE 1.32 END AS miss,
@@ -248,7 +256,13 @@ def recovered_calls(spark, d):
     return ledger.recover_calls(calls, tb.AS_OF).select("call_id", "status", "error")
 
 
-@query("cache_keys")
+@query(
+    "cache_keys",
+    f"""WITH {_CALLS} SELECT k.call_id, sha256('{{"max_tokens":' || CASE WHEN k.stage = 'summary' THEN 768 ELSE 2048 END ||
+      ',"messages":[{{"content":' || CAST(to_json(c.text) AS VARCHAR) || ',"role":"user"}}],"model":"' || k.model ||
+      '","prompt":"summary-v1","provider":"deepseek","stage":"' || k.stage || '"}}') AS cache_key
+    FROM calls k JOIN conversations c ON c.conv_id * 1000 + c.turn = k.call_id""",
+)
 def cache_keys(spark, d):
     calls = tb.calls(spark, d).withColumn("prompt_version", F.lit("summary-v1"))
     message = F.struct(F.lit("user").alias("role"), F.get("messages", F.lit(0)).alias("content"))

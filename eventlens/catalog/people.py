@@ -14,27 +14,23 @@ from eventlens.plans import tables as tb
 _STATE = """, latest AS (
   SELECT 'cus_' || o_custkey AS customer_id, o_orderdate AS created, o_orderdate + INTERVAL 180 DAY AS period_end,
     CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'past_due' ELSE 'canceled' END AS status
-  FROM orders WHERE o_orderdate <= TIMESTAMP '2001-06-01'
+  FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1),
 state AS (
   SELECT customer_id, status AS subscription_status, created,
-    CASE WHEN status IN ('active', 'past_due') OR period_end > TIMESTAMP '2001-06-01' THEN 'pro' ELSE 'free' END AS subscription_tier,
+    CASE WHEN status IN ('active', 'past_due') OR period_end > TIMESTAMP '2001-09-01' THEN 'pro' ELSE 'free' END AS subscription_tier,
     CASE WHEN status = 'past_due' THEN period_end + INTERVAL 3 DAY
-         WHEN status = 'active' OR period_end > TIMESTAMP '2001-06-01' THEN period_end END AS expires
+         WHEN status = 'active' OR period_end > TIMESTAMP '2001-09-01' THEN period_end END AS expires
   FROM latest)"""
 
 
-def _known_events(spark, d):
-    return tb.subscription_events(spark, d).where(F.col("created") <= tb.SUBSCRIPTION_AS_OF)
-
-
 @query(
     "subscription_state",
     "WITH x AS (SELECT 1)" + _STATE + f""" SELECT customer_id, subscription_status, subscription_tier,
     {s.STAMP.format('created')} AS state_created_at, {s.STAMP.format('expires')} AS entitlement_expires_at FROM state""",
 )
 def subscription_state(spark, d):
-    rows = subscriptions.subscription_state(_known_events(spark, d), tb.SUBSCRIPTION_AS_OF)
+    rows = subscriptions.subscription_state(tb.subscription_events(spark, d), tb.SUBSCRIPTION_AS_OF)
     return rows.select(
         "customer_id", "subscription_status", "subscription_tier", stamp("state_created_at"), stamp("entitlement_expires_at")
     )
@@ -56,14 +52,14 @@ def receipts_once(spark, d):
 @query(
     "entitlements",
     "WITH x AS (SELECT 1)" + _STATE + """ SELECT c_custkey AS user_id,
-      CASE WHEN s.subscription_tier = 'pro' AND s.expires > TIMESTAMP '2001-06-01' THEN 'pro'
+      CASE WHEN s.subscription_tier = 'pro' AND s.expires > TIMESTAMP '2001-09-01' THEN 'pro'
            WHEN s.customer_id IS NULL AND c_custkey % 4 = 0 AND c_custkey % 8 <> 0 THEN 'pro'
            WHEN s.customer_id IS NULL AND c_custkey % 8 = 0 THEN 'pro' ELSE 'free' END AS tier,
       CASE WHEN tier = 'pro' THEN 5 ELSE 0 END AS features
     FROM customer LEFT JOIN state s ON s.customer_id = 'cus_' || c_custkey""",
 )
 def entitlements(spark, d):
-    state = subscriptions.subscription_state(_known_events(spark, d), tb.SUBSCRIPTION_AS_OF)
+    state = subscriptions.subscription_state(tb.subscription_events(spark, d), tb.SUBSCRIPTION_AS_OF)
     users = subscriptions.apply_state(tb.users(spark, d), state)
     access = nm.entitlement("subscription_tier", "entitlement_expires_at", tb.SUBSCRIPTION_AS_OF)
     return users.select("user_id", access["tier"].alias("tier"), F.size(access["features"]).alias("features"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html
 
 import pandas as pd
 from pyspark.sql import Column
@@ -95,42 +95,36 @@ def strip_announce(body) -> Column:
     )
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.muted = 0
+# Character references decoded by expression; the ampersand comes last.
+REFERENCES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&hellip;": "…",
+    "&mdash;": "—", "&ndash;": "–", "&copy;": "©", "&middot;": "·", "&amp;": "&",
+}
+UNSEEN = r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+TAG = r"(?s)<[/!?A-Za-z][^>]*>"
 
-    def handle_starttag(self, tag, attrs):
-        self.muted += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.muted:
-            self.muted -= 1
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.found.append(data)
 
+@F.pandas_udf(T.StringType())
+def _rare_references(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
 
-def _strip_markup(html: str | None) -> str | None:
-    if html is None:
-        return None
-    reader = _Text()
-    reader.feed(html)
-    return " ".join(" ".join(reader.found).split())
 
+def html_to_text(markup) -> Column:
+    """Visible text: scripts, styles, comments and tags become blanks, references characters.
 
-@F.pandas_udf(T.StringType())
-def _markup_free(html: pd.Series) -> pd.Series:
-    return html.map(_strip_markup)
+    A chain of JVM expressions; only values with references beyond the common ones take the
+    Arrow path, and there for the references alone.
+    """
+    bare = F.regexp_replace(F.regexp_replace(_col(markup), UNSEEN, " "), TAG, " ")
 
+    def decoded(text: Column) -> Column:
+        for written, meant in REFERENCES.items():
+            text = F.replace(text, F.lit(written), F.lit(meant))
+        return text
 
-def html_to_text(html) -> Column:
-    """Visible text. Only values that hold markup or entities travel to Python."""
-    html = _col(html)
-    marked = html.rlike("[<&]")
-    return F.when(~marked, squeeze(html)).otherwise(_markup_free(F.when(marked, html)))
+    others = "|".join(name[1:-1] for name in REFERENCES)
+    rare = bare.rlike(rf"&(?!(?:{others});)[#A-Za-z]")
+    return squeeze(F.when(rare, _rare_references(F.when(rare, bare))).otherwise(decoded(bare)))
 
 
 # Elements that end a block of running text.
@@ -143,12 +137,12 @@ MIN_BLOCK_WORDS = 12
 MAX_LINK_SHARE = 0.3
 
 
-def main_text(html) -> Column:
+def main_text(markup) -> Column:
     """Running text of a page: long blocks with few links, tables and comments left out.
 
     Works block by block with array expressions, so a page is scored inside the scan task.
     """
-    page = F.regexp_replace(_col(html), r"(?s)<!--.*?-->", " ")
+    page = F.regexp_replace(_col(markup), r"(?s)<!--.*?-->", " ")
     page = F.regexp_replace(page, rf"(?is)<({DROPPED})\b[^>]*>.*?</\1\s*>", "\n<p>")
     blocks = F.split(page, rf"(?i)</?(?:{BLOCKS})\b[^>]*>")
 
@@ -159,9 +153,7 @@ def main_text(html) -> Column:
         anchors = F.regexp_extract_all(block, F.lit(r"(?is)<a\b[^>]*>(.*?)</a\s*>"), F.lit(1))
         return word_count(F.regexp_replace(F.array_join(anchors, " "), r"(?s)<[^>]*>", " "))
 
-    kept = F.filter(
-        blocks,
-        lambda b: (word_count(plain(b)) >= MIN_BLOCK_WORDS)
-        & (linked(b) <= word_count(plain(b)) * MAX_LINK_SHARE),
-    )
-    return F.array_join(F.transform(kept, plain), "\n")
+    told = F.transform(blocks, lambda b: F.struct(plain(b).alias("text"), linked(b).alias("linked")))
+    sized = F.transform(told, lambda t: F.struct(t["text"].alias("text"), t["linked"].alias("linked"), word_count(t["text"]).alias("words")))
+    kept = F.filter(sized, lambda t: (t["words"] >= MIN_BLOCK_WORDS) & (t["linked"] <= t["words"] * MAX_LINK_SHARE))
+    return F.array_join(F.transform(kept, lambda t: t["text"]), "\n")

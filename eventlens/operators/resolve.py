@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from types import SimpleNamespace
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,11 +162,18 @@ def _walk(settings: Settings):
     bits, low, high = settings.simhash_distance, settings.near_dup_low, settings.near_dup_high
     reach = settings.near_dup_days * DAY
 
-    def earliest_copy(row, articles, by_print):
-        prints = np.fromiter(by_print, np.int64, len(by_print))
-        near = prints[np.bitwise_count((prints ^ np.int64(row.fingerprint)).view(np.uint64)) <= bits]
+    # Fingerprints within ``bits`` of each other agree in at least one of ``bits + 1`` bands.
+    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
+
+    def bands(value):
+        value &= (1 << 64) - 1
+        return [(a, value >> a & (1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
+
+    def earliest_copy(row, articles, by_print, banded):
         found = None
-        for value in near:
+        for value in set().union(*(banded.get(band, ()) for band in bands(row.fingerprint))):
+            if ((value ^ row.fingerprint) & (1 << 64) - 1).bit_count() > bits:
+                continue
             for node in by_print[int(value)]:
                 article = articles[node]
                 moment = article["published"] if article["published"] is not None else article["fetched"]
@@ -181,13 +187,16 @@ def _walk(settings: Settings):
         for row in frame.to_pylist():
             rows[row["kind"]].append(SimpleNamespace(**row))
         component = frame["component"][0].as_py()
-        articles, by_url, by_print, keys, aliases = {}, {}, {}, {}, {}
+        articles, by_url, by_print, banded, keys, aliases = {}, {}, {}, {}, {}, {}
         names, decisions = {}, []
 
         def index(node):
             article = articles[node]
             by_url[article["url_hash"]] = node
             if article["fingerprint"] is not None:
+                if article["fingerprint"] not in by_print:
+                    for band in bands(article["fingerprint"]):
+                        banded.setdefault(band, set()).add(article["fingerprint"])
                 by_print.setdefault(article["fingerprint"], set()).add(node)
 
         def unindex(node):
@@ -199,6 +208,8 @@ def _walk(settings: Settings):
                 holders.discard(node)
                 if not holders:
                     del by_print[article["fingerprint"]]
+                    for band in bands(article["fingerprint"]):
+                        banded[band].discard(article["fingerprint"])
 
         for row in rows["article"]:
             articles[row.node] = {f: getattr(row, f) for f in FIELDS}
@@ -216,7 +227,7 @@ def _walk(settings: Settings):
             if node is None and aliases.get(row.url_hash):
                 node = min(aliases[row.url_hash])
             if node is None and row.fingerprint is not None:
-                node = earliest_copy(row, articles, by_print)
+                node = earliest_copy(row, articles, by_print, banded)
             holder = by_url.get(row.url_hash)
             if node is not None and row.authority > articles[node]["authority"] and holder not in (None, node):
                 # Taking over would give two articles one URL; the candidate changes nothing.

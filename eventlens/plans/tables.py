@@ -12,7 +12,8 @@ from eventlens.operators import events
 from eventlens.session import cut, prepare, small, spread
 
 AS_OF = "2024-01-31 00:00:00"
-SUBSCRIPTION_AS_OF = "2001-06-01 00:00:00"
+# After the last order, so that every event is known.
+SUBSCRIPTION_AS_OF = "2001-09-01 00:00:00"
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("cluster_id"),
         F.when(summary_stage, "summary").otherwise("analysis").alias("stage"),
         F.when(summary_stage, "deepseek-flash").otherwise("deepseek-v4-pro").alias("model"),
-        F.md5(F.substring("text", 1, 12)).alias("cache_key"),
+        F.md5("text").alias("cache_key"),
         status.alias("status"),
         size.alias("input_tokens"),
         F.expr("octet_length(text) div 4").alias("cached_input_tokens"),

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,10 +61,16 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return _private_root()
+
+
+@cache
+def _private_root() -> str:
+    """One folder per process, for tests under a local master that name none."""
     return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
-_WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables written by cut", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -74,16 +84,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/eventlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    written = _SCOPE.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written by ``cut``; call when nothing derived from them is needed."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end the tables that ``cut`` writes inside, and no others: plans of other
+    threads and queries keep theirs."""
+    written: list[str] = []
+    token = _SCOPE.set(written)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for name in written:
+            path = hadoop.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:

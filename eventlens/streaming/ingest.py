@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.config import DEFAULTS, Settings
+from eventlens.functions import numbers as nm
 from eventlens.plans.ingest import IngestTables, empty_tables, run_ingest
-from eventlens.session import release
+from eventlens.session import scope
 from eventlens.sources import sinks
 
 STORED = [f.name for f in fields(IngestTables) if f.name != "sources"]
@@ -54,15 +55,18 @@ def ingest_stream(
             if last >= batch_id:
                 return
         tables = load_tables(spark, root, sources, done)
-        moment = F.current_timestamp() if as_of is None else as_of
-        result = run_ingest(tables, batch, moment, settings)
-        for name in STORED:
-            frame = getattr(result.tables, name)
-            frame.write.mode("overwrite").parquet(f"{root}/{name}/version={done + 1}")
-        # The metrics come last: their marker makes the round visible.
-        metrics = result.metrics.withColumn("batch_id", F.lit(batch_id))
-        metrics.write.mode("overwrite").parquet(f"{root}/metrics/version={done + 1}")
-        release(spark)
+        # One moment for all jobs of the round, stored with it.
+        moment = as_of if as_of is not None else F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
+        with scope(spark):
+            result = run_ingest(tables, batch, moment, settings)
+            for name in STORED:
+                frame = getattr(result.tables, name)
+                frame.write.mode("overwrite").parquet(f"{root}/{name}/version={done + 1}")
+            # The metrics come last: their marker makes the round visible.
+            metrics = result.metrics.withColumns(
+                {"batch_id": F.lit(batch_id), "as_of": nm.moment(moment)}
+            )
+            metrics.write.mode("overwrite").parquet(f"{root}/metrics/version={done + 1}")
 
     return (
         candidates.writeStream.foreachBatch(apply)

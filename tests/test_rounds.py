@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventlens.config import Settings
@@ -110,7 +111,19 @@ def test_subscription_stream_equals_batch(spark, tmp_path):
     run_memory(state.receipt_stream(stream), "receipts", "append")
     assert sorted(r.event_id for r in spark.table("receipts").collect()) == [1, 2, 3, 4, 5]
     run_memory(state.change_stream(stream), "changes", "append")
-    assert [(r.customer_id, r.status) for r in spark.table("changes").collect()] == [("c1", "canceled")]
+    assert [(r.customer_id, r.status) for r in spark.table("changes").collect()] == [("c1", "active"), ("c1", "canceled")]
+
+
+def test_scope_deletes_its_own_tables_only(spark):
+    from eventlens.session import cut, scope
+
+    outside = cut(spark.range(3))
+    with scope(spark):
+        inside = cut(spark.range(4))
+        assert inside.count() == 4
+    assert outside.count() == 3 and cut(spark.range(2)).count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(inside.inputFiles()[0]).count()
 
 
 def test_landing_files(spark, tmp_path):
