@@ -198,7 +198,8 @@ _PUBLIC = (
 
 @query(
     "public_feed",
-    s.BASE + f"SELECT {_PUBLIC} FROM clusters WHERE latest_published_at <= {s.MID} ORDER BY {BY_TIME} LIMIT 50 OFFSET 10",
+    s.BASE + f"""SELECT {_PUBLIC}, (SELECT count(*) FROM clusters WHERE latest_published_at <= {s.MID}) AS total
+    FROM clusters WHERE latest_published_at <= {s.MID} ORDER BY {BY_TIME} LIMIT 50 OFFSET 10""",
 )
 def public_feed(spark, d):
     rows = fq.public_feed(tb.load(spark, d), 50, 10, MID)
@@ -214,6 +215,74 @@ _COVERAGE = """, coverage AS (
   JOIN sources s ON s.source_id = o.source_id)"""
 
 
+@query(
+    "public_event",
+    s.BASE + _COVERAGE + f""" SELECT {_PUBLIC.replace("cluster_id AS id", "c.cluster_id AS id")}, v.coverage
+    FROM clusters c LEFT JOIN (
+      SELECT cluster_id, string_agg(source || ' ' || url, '|' ORDER BY place) AS coverage
+      FROM coverage WHERE place <= 10 GROUP BY cluster_id) v USING (cluster_id)
+    WHERE latest_published_at <= {s.AS_OF} AND cluster_id = (SELECT min(cluster_id) FROM clusters)""",
+)
+def public_event(spark, d):
+    t = tb.load(spark, d)
+    first = t.clusters.agg(F.min("cluster_id")).scalar()
+    text = F.transform("coverage", lambda c: F.concat_ws(" ", c["source"], c["url"]))
+    return fq.public_event(t, first, tb.AS_OF).select(
+        "id", "title", "summary", "significance_score", "event_type", stamp("published_at"), "primary_link",
+        "source_count", listed(text, "coverage"),
+    )
+
+
+_DETAIL_USERS = """, users AS (
+  SELECT c_custkey AS user_id, c_custkey % 4 = 0 AND (c_custkey % 8 <> 0 OR c_custkey % 3 - 1 > 0) AS paid
+  FROM customer)"""
+
+
+def _detail_sql(user: int) -> str:
+    return s.RANKED + _DETAIL_USERS + f""" SELECT cluster_id, topic, primary_title, primary_link, {LATEST},
+      round(rank_score + 1e-9, 4) AS rank_score, CASE WHEN paid THEN analysis END AS analysis,
+      NOT paid AND analysis_status = 'ready' AS analysis_locked
+    FROM ranked, (SELECT coalesce(bool_or(paid), false) AS paid FROM users WHERE user_id = {user})
+    WHERE cluster_id = (SELECT min(doc_id) FROM labels JOIN clusters ON cluster_id = doc_id)"""
+
+
+def _detail(spark, d, user: int):
+    t = tb.load(spark, d)
+    marked = tb.read(spark, d, "labels").select(F.col("doc_id").alias("cluster_id"))
+    one = t.clusters.join(marked, "cluster_id", "left_semi").agg(F.min("cluster_id")).scalar()
+    return fq.customer_detail(t, one, user, tb.AS_OF)
+
+
+def _detail_event(spark, d, user: int):
+    event, _ = _detail(spark, d, user)
+    return event.select(
+        "cluster_id", "topic", "primary_title", "primary_link", stamp("latest_published_at"), *_rounded("rank_score"),
+        "analysis", "analysis_locked",
+    )
+
+
+@query("customer_detail", _detail_sql(4))
+def customer_detail(spark, d):
+    """One event for a customer with full access."""
+    return _detail_event(spark, d, 4)
+
+
+@query("customer_detail_locked", _detail_sql(3))
+def customer_detail_locked(spark, d):
+    """The same event for a customer without."""
+    return _detail_event(spark, d, 3)
+
+
+@query(
+    "customer_detail_coverage",
+    s.BASE + _COVERAGE + """ SELECT article_id, observation_id, source, url FROM coverage
+    WHERE cluster_id = (SELECT min(doc_id) FROM labels JOIN clusters ON cluster_id = doc_id)""",
+)
+def customer_detail_coverage(spark, d):
+    _, rows = _detail(spark, d, 4)
+    return rows.select("article_id", "observation_id", "source", "url")
+
+
 @query(
     "public_event_coverage",
     s.BASE + _COVERAGE + """ SELECT cluster_id, string_agg(source || ' ' || url, '|' ORDER BY place) AS coverage,

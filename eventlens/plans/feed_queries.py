@@ -106,9 +106,12 @@ def customer_detail(
 
 
 def public_feed(tables: Tables, limit: int, offset: int, as_of) -> DataFrame:
-    """Public page by time; the page is cut before articles are joined."""
-    rows = feed.page(feed.not_future(tables.clusters, as_of), rk.by_time(), limit, offset, most=50)
-    events = feed.public_events(feed.with_primary(rows, tables.articles))
+    """Public page by time with the number of all public events; the page is cut before articles
+    are joined."""
+    public = feed.not_future(tables.clusters, as_of)
+    total = feed.total(public).scalar()
+    rows = feed.page(public, rk.by_time(), limit, offset, most=50)
+    events = feed.public_events(feed.with_primary(rows, tables.articles)).withColumn("total", total)
     return events.orderBy(F.desc("published_at"), F.asc("id"))
 
 
