@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventlens import config
 from eventlens.operators import events
-from eventlens.session import cut, prepare, small, spread
+from eventlens.session import cut, intact, prepare, small, spread
 
 AS_OF = "2024-01-31 00:00:00"
 # After the last order, so that every event is known.
@@ -203,19 +203,27 @@ def subscription_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Written memberships and clusters, per application and directory.
+_STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The whole set. Memberships and clusters are stored tables in production, so they are
-    written once here and then read by every part of a query."""
+    written once per directory here and then read by every query."""
     registry = sources(spark, sf_dir)
     article = articles(spark, sf_dir)
     seen = observations(spark, sf_dir)
-    member = cut(members(spark, sf_dir))
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in _STORED or not all(intact(t) for t in _STORED[place]):
+        member = cut(members(spark, sf_dir))
+        _STORED[place] = member, cut(clusters(spark, sf_dir, member, article, seen, registry))
+    member, cluster = _STORED[place]
     return Tables(
         sources=registry,
         articles=article,
         observations=seen,
         members=member,
-        clusters=cut(clusters(spark, sf_dir, member, article, seen, registry)),
+        clusters=cluster,
         users=users(spark, sf_dir),
         user_topics=user_topics(spark, sf_dir),
     )

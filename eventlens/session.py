@@ -106,6 +106,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def intact(df: DataFrame) -> bool:
+    """Whether the files of a written table are still there."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(next(iter(df.inputFiles()), "/missing"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def spread(df: DataFrame, most: int = 256 << 20) -> DataFrame:
     """Deal a small input, which may be one row group, out to all cores before costly
     per-row work. Larger inputs have enough splits of their own and stay where they are."""
