@@ -608,11 +608,11 @@ def _linked_articles(spark, d):
 
 
 _EVIDENCE = s.BASE + r""", linked AS (
-  SELECT article_id, source_id, canonical_url, CASE WHEN article_id % 3 = 0
+  SELECT article_id, source_id, canonical_url, title, published_at, CASE WHEN article_id % 3 = 0
     THEN ' see https://github.com/org/repo' || article_id % 5 || '), and https://other.example/x ' || body ELSE body END AS body
   FROM articles),
 placed AS (
-  SELECT m.cluster_id, l.article_id, l.body, c.cluster_size,
+  SELECT m.cluster_id, l.article_id, l.body, c.cluster_size, l.title, l.canonical_url, l.published_at, s.name, s.category,
     row_number() OVER (PARTITION BY m.cluster_id ORDER BY l.article_id <> c.primary_article_id, s.authority_score DESC,
       least(len(regexp_extract_all(l.body, '\S+')), 3000) DESC, l.canonical_url) AS place
   FROM members m JOIN linked l USING (article_id) JOIN clusters c USING (cluster_id)
@@ -663,7 +663,30 @@ def grounded_links(spark, d):
     return evidence.validate_links(cited, packs).select("cluster_id", "grounded")
 
 
-@query("evidence_fingerprints")
+_NOTES = """list_filter([
+      CASE WHEN len(regexp_extract_all(excerpt, '\\S+')) < 80 THEN 'Article ' || article_id || ' has limited source text.' END,
+      CASE WHEN n > 1200 OR joined > 12000 THEN 'Article ' || article_id || '""" + evidence.TRUNCATED_NOTE + """' END],
+      lambda v: v IS NOT NULL)"""
+
+
+@query(
+    "evidence_fingerprints",
+    _EVIDENCE + f""", told AS (
+      SELECT cluster_id, '[' || string_agg('{{"body":' || CAST(to_json(excerpt) AS VARCHAR) || ',"id":"' || article_id ||
+          '","published_at":"' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00","source_category":"' || category ||
+          '","source_name":"' || name || '","title":' || CAST(to_json(title) AS VARCHAR) || ',"url":"' || canonical_url || '"}}',
+          ',' ORDER BY place) || ']' AS articles,
+        list_concat(flatten(list({_NOTES} ORDER BY place)),
+          CASE WHEN any_value(cluster_size) = 1 THEN ['{evidence.SINGLE_NOTE}']
+               WHEN any_value(cluster_size) > 4 THEN ['{evidence.SELECTED_NOTE}'] ELSE [] END) AS notes
+      FROM chosen GROUP BY cluster_id)
+    SELECT cluster_id, sha256('{{"analysis_max_tokens":2048,"analysis_model":"deepseek-v4-pro","analysis_prompt":"analysis-v2",' ||
+      '"evidence":{{"allowed_links":[' || array_to_string(list_transform(allowed, lambda v: '"' || v || '"'), ',') ||
+      '],"articles":' || articles || ',"cluster_article_count":' || cluster_article_count ||
+      ',"limitations":[' || array_to_string(list_transform(notes, lambda v: '"' || v || '"'), ',') ||
+      ']}},"summary_max_tokens":768,"summary_model":"deepseek-flash","summary_prompt":"summary-v1"}}') AS input_hash
+    FROM told JOIN packs USING (cluster_id)""",
+)
 def evidence_fingerprints(spark, d):
     return evidence.input_hash(_packs(spark, d)).select("cluster_id", "input_hash")
 
