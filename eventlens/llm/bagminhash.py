@@ -50,7 +50,7 @@ from eventlens.session import cut
 BANDS, ROWS = 32, 5
 LEAST = 0.8
 #: Values of the longer signature that tells candidates of step 3 apart, four bits each.
-CODE = 512
+CODE = 1_024
 #: Covers rounding of similarities.
 SLACK = 1e-9
 _STEP = np.uint64(0x9E3779B97F4A7C15)
