@@ -7,7 +7,8 @@
    global sort of narrow rows, and each takes the neighbour of the same folder, else the one
    before, else the one after; a hot host is a long run of sorted rows, never one task's group.
    Copies of a page on a host collapse before, so a page is never compared with itself.
-3. The lines of a pair are aligned by longest common subsequence and the shared ones deleted:
+3. The neighbour's lines come as hashes, so a page's text moves once and its neighbour's not at all.
+   The lines of a pair are aligned by longest common subsequence and the shared ones deleted:
    templates, notices and repeated chrome. Prose inside an article container is only deleted for
    its marks, since two articles may truly share a sentence.
 
@@ -168,10 +169,10 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
     return texts, marks
 
 
-def shared(left: list[str], right: list[str]) -> set[int]:
+def shared(left: list, right: list) -> set[int]:
     """Indexes of ``left`` in a longest common subsequence with ``right``, in linear memory."""
     out: set[int] = set()
-    numbers: dict[str, int] = {}
+    numbers: dict = {}
     a = np.array([numbers.setdefault(x, len(numbers)) for x in left], np.int64)
     b = np.array([numbers.setdefault(x, len(numbers)) for x in right], np.int64)
     # Lines of one side only are in no common subsequence.
@@ -207,10 +208,11 @@ def shared(left: list[str], right: list[str]) -> set[int]:
     return out
 
 
-def main_text(texts: list[str], marks: list[int], other: list[str] | None) -> str:
-    """The article of a page, given the lines of its nearest page."""
+def main_text(texts: list[str], marks: list[int], other: list | None, lines: list | None = None) -> str:
+    """The article of a page, given the lines of its nearest page; ``lines`` stand for ``texts`` in
+    the comparison, such as hashes on both sides."""
     contained = any(m & INSIDE and not m & JUNK for m in marks)
-    common = shared(texts, other) if other else set()
+    common = shared(lines or texts, other) if other else set()
 
     def fits(k: int) -> bool:
         m = marks[k]
@@ -236,10 +238,10 @@ def _parse(batches):
 
 def _extract(batches):
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "marks", "other")))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "marks", "other", "lines")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), batch.column("content"), pa.array([main_text(*r) for r in rows], pa.string())],
-            names=["host", "content", "text"],
+            [batch.column("page_id"), batch.column("url"), pa.array([main_text(*r) for r in rows], pa.string())],
+            names=["page_id", "url", "text"],
         )
 
 
@@ -298,20 +300,16 @@ def page_texts(pages: DataFrame) -> DataFrame:
         "texts array<string>, marks array<int>"
     )
     parsed = cut(rows.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(_parse, schema))
+    lines = F.transform("texts", lambda t: F.xxhash64(t)).alias("lines")
     distinct = cut(
-        parsed.groupBy("host", "content").agg(
-            F.min("path").alias("path"), F.first("texts").alias("texts"), F.first("marks").alias("marks")
-        )
-    )
-    others = distinct.select(
-        "host", F.col("content").alias("other_content"), F.col("texts").alias("other")
-    )
-    paired = distinct.join(_neighbours(distinct), ["host", "content"]).join(
-        others, ["host", "other_content"], "left"
-    )
-    told = paired.select("host", "content", "texts", "marks", "other").mapInArrow(
-        _extract, "host string, content string, text string"
+        parsed.select("host", "path", "content", lines)
+        .groupBy("host", "content")
+        .agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
     )
-    return parsed.select("page_id", "url", "host", "content").join(told, ["host", "content"]).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    others = distinct.select("host", F.col("content").alias("other_content"), F.col("lines").alias("other"))
+    partners = _neighbours(distinct).join(others, ["host", "other_content"], "left").select("host", "content", "other")
+    paired = parsed.select("page_id", "url", "host", "content", "texts", "marks", lines).join(partners, ["host", "content"])
+    told = paired.select("page_id", "url", "texts", "marks", "other", "lines").mapInArrow(
+        _extract, "page_id long, url string, text string"
     )
+    return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
