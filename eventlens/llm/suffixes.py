@@ -44,8 +44,9 @@ from eventlens.session import cut
 SPAN, GRAM, LETTER = 200, 40, 50
 WIDTH = SPAN - GRAM + 1
 #: Bytes of a shard, and contents of a minimiser beyond which its windows are counted one by one.
-SHARD, MOST_CONTENTS = 1 << 19, 4_096
-SLICE = 1_000_000
+SHARD, MOST_CONTENTS = 1 << 18, 4_096
+#: Characters handled at once where segments are found.
+SLICE = 300_000
 NO_HASH = np.uint64((1 << 64) - 1)
 
 
@@ -344,10 +345,12 @@ def covered(texts: DataFrame) -> DataFrame:
     contents = dealt.groupBy("gram", "content").agg(
         F.sum("places").alias("places"), F.min(F.struct("row", "low", "size")).alias("at")
     )
+    # Both sides of the join need the same columns of ``dealt``, so that it is dealt out once.
     uses = contents.groupBy("gram").agg(
-        F.sum("places").alias("uses"), F.count(F.lit(1)).alias("kinds"), F.min("places").alias("fewest")
-    ).where("uses > 1")
-    shared = cut(contents.join(uses.drop("uses"), "gram"))
+        F.sum("places").alias("uses"), F.count(F.lit(1)).alias("kinds"), F.min("places").alias("fewest"),
+        F.max("at").alias("last"),
+    ).where("uses > 1 and last is not null")
+    shared = cut(contents.join(uses.drop("uses", "last"), "gram"))
     span = "gram long, content long, `from` int, `to` int"
     repeated = shared.where("places > 1").select(
         "gram", "content", F.lit(0).alias("from"), F.col("at.size").alias("to")
