@@ -9,12 +9,15 @@
    Copies of a page on a host collapse before, so a page is never compared with itself.
 3. The neighbour's lines come as hashes, so a page's text moves once and its neighbour's not at all.
    The lines of a pair are aligned by longest common subsequence and the shared ones deleted:
-   templates, notices and repeated chrome. Prose inside an article container is only deleted for
-   its marks, since two articles may truly share a sentence.
+   templates, notices and repeated chrome.
+4. Two articles may truly share a sentence, so one neighbour is not enough to delete prose inside an
+   article container. It is compared with all distinct pages of the host: lines are counted per host,
+   combined before the shuffle, and prose on at least ``USUAL_PAGES`` pages and half of those with a
+   container is the host's and deleted. A host has at most twice as many such lines as a page has on average.
 
 Defined cases: null html is an empty page, whose text is empty. A null or odd URL has an empty host
 and its text up to the query as path. A page alone on its host is judged by marks only, as is one
-all of whose lines are shared. Rows that repeat are each returned. An empty table gives no rows;
+all of whose lines are shared or usual on the host. Rows that repeat are each returned. An empty table gives no rows;
 other columns are ignored.
 """
 
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.operators.scans import positioned
-from eventlens.session import cut
+from eventlens.session import cut, small
 
 JUNK, INSIDE, PROSE, LINKS, HEADER = 1, 2, 4, 8, 16
+#: Pages of a host that must have a line of prose before it can be the host's.
+USUAL_PAGES = 3
 
 #: HTML element names by the part they play.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp"}
@@ -208,11 +213,14 @@ def shared(left: list, right: list) -> set[int]:
     return out
 
 
-def main_text(texts: list[str], marks: list[int], other: list | None, lines: list | None = None) -> str:
-    """The article of a page, given the lines of its nearest page; ``lines`` stand for ``texts`` in
-    the comparison, such as hashes on both sides."""
+def main_text(
+    texts: list[str], marks: list[int], other: list | None, lines: list | None = None, usual: list | None = None
+) -> str:
+    """The article of a page, given the lines of its nearest page and those usual on its host;
+    ``lines`` stand for ``texts`` in the comparison, such as hashes on both sides."""
     contained = any(m & INSIDE and not m & JUNK for m in marks)
-    common = shared(lines or texts, other) if other else set()
+    lines, everywhere = lines or texts, set(usual or ())
+    common = shared(lines, other) if other else set()
 
     def fits(k: int) -> bool:
         m = marks[k]
@@ -220,8 +228,11 @@ def main_text(texts: list[str], marks: list[int], other: list | None, lines: lis
             return False
         return bool(m & INSIDE) if contained else not m & LINKS
 
+    def repeats(k: int) -> bool:
+        return lines[k] in everywhere if contained and marks[k] & PROSE else k in common
+
     kept = [k for k in range(len(texts)) if fits(k)]
-    fresh = [k for k in kept if k not in common or (contained and marks[k] & PROSE)]
+    fresh = [k for k in kept if not repeats(k)]
     return "\n".join(texts[k] for k in (fresh or kept))
 
 
@@ -238,7 +249,7 @@ def _parse(batches):
 
 def _extract(batches):
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "marks", "other", "lines")))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "marks", "other", "lines", "usual")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array([main_text(*r) for r in rows], pa.string())],
             names=["page_id", "url", "text"],
@@ -283,6 +294,27 @@ def _neighbours(distinct: DataFrame) -> DataFrame:
     return near.select("host", "content", other.alias("other_content"))
 
 
+def _usual(distinct: DataFrame) -> DataFrame:
+    """``host, usual``: the lines of prose inside containers that are the host's, of hosts with any."""
+    prose = F.filter(
+        "lines", lambda _, k: F.get("marks", k).bitwiseAND(JUNK | INSIDE | PROSE | HEADER) == (INSIDE | PROSE)
+    )
+    counts = cut(
+        distinct.select("host", F.array_distinct(prose).alias("prose"))
+        .where(F.size("prose") > 0)
+        # The null line counts the host's pages.
+        .select("host", F.explode(F.concat("prose", F.array(F.lit(None).cast("long")))).alias("line"))
+        .groupBy("host", "line")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= USUAL_PAGES)
+    )
+    pages = counts.where("line is null").select("host", F.col("n").alias("pages"))
+    return cut(
+        counts.where("line is not null").join(pages, "host").where(2 * F.col("n") >= F.col("pages"))
+        .groupBy("host").agg(F.collect_list("line").alias("usual"))
+    )
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``."""
     address = F.coalesce("url", F.lit(""))
@@ -302,14 +334,16 @@ def page_texts(pages: DataFrame) -> DataFrame:
     parsed = cut(rows.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(_parse, schema))
     lines = F.transform("texts", lambda t: F.xxhash64(t)).alias("lines")
     distinct = cut(
-        parsed.select("host", "path", "content", lines)
+        parsed.select("host", "path", "content", "marks", lines)
         .groupBy("host", "content")
-        .agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+        .agg(F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("marks").alias("marks"))
     )
     others = distinct.select("host", F.col("content").alias("other_content"), F.col("lines").alias("other"))
-    partners = _neighbours(distinct).join(others, ["host", "other_content"], "left").select("host", "content", "other")
+    partners = _neighbours(distinct).join(others, ["host", "other_content"], "left").join(
+        small(_usual(distinct)), "host", "left"
+    ).select("host", "content", "other", "usual")
     paired = parsed.select("page_id", "url", "host", "content", "texts", "marks", lines).join(partners, ["host", "content"])
-    told = paired.select("page_id", "url", "texts", "marks", "other", "lines").mapInArrow(
+    told = paired.select("page_id", "url", "texts", "marks", "other", "lines", "usual").mapInArrow(
         _extract, "page_id long, url string, text string"
     )
     return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -249,6 +249,22 @@ def test_page_texts(spark):
     assert page_diff.page_texts(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_template_prose_inside_articles_goes(spark):
+    page = "<body><article><h1>{0}</h1><p>Subscribe now</p><p>{1}</p><p>All about us</p></article></body>"
+    # A sentence of two articles stays; a notice of all pages, or of most, goes.
+    told = ["Told twice", "Told twice", "two", "three", "four", "five"]
+    rows = [(k, f"http://h/a/{k}", page.format(f"Head {k}", t)) for k, t in enumerate(told)]
+    rows[3] = (3, "http://h/a/3", "<body><article><h1>Head 3</h1><p>three</p></article></body>")
+    rows += [(9, "http://lone/a/9", page.format("Head 9", "nine")), (8, "http://pair/a/8", page.format("Head 8", "eight")),
+             (7, "http://pair/a/7", page.format("Head 7", "seven"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_diff.page_texts(frame).collect()}
+    wanted = {k: f"Head {k}\n{t}" for k, t in enumerate(told)}
+    # Fewer than three pages do not tell a template from a shared sentence.
+    wanted |= {k: f"Head {k}\nSubscribe now\n{t}\nAll about us" for k, t in ((7, "seven"), (8, "eight"), (9, "nine"))}
+    assert got == wanted
+
+
 def test_page_query_gives_the_article(spark):
     import html
 
