@@ -2,7 +2,9 @@
 
 1. A page becomes blocks of text in page order, each with marks: inside an element that is never
    article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments),
-   inside an ``article`` or ``main`` container, prose or mostly links.
+   inside an ``article`` or ``main`` container, prose or mostly links. A class or id name of what
+   surrounds a container is a weak sign, since layouts name what they hold: such a container counts
+   only where the page has none in the clear, which leaves out cards of related articles.
 2. Pages pair by URL path inside their host. Distinct pages of a host are put in path order by a
    global sort of narrow rows, and each takes the neighbour of the same folder, else the one
    before, else the one after; a hot host is a long run of sorted rows, never one task's group.
@@ -16,7 +18,9 @@
    container is the host's and deleted. A host has at most twice as many such lines as a page has on average.
 
 Defined cases: null html is an empty page, whose text is empty. A null or odd URL has an empty host
-and its text up to the query as path. A page alone on its host is judged by marks only, as is one
+and its text up to the query as path. Where the marks leave nothing, names
+count for nothing and the shared lines alone decide; elements, roles and hidden parts stay out. Other than that,
+a page alone on its host is judged by marks only, as is one
 all of whose lines are shared or usual on the host. Rows that repeat are each returned. An empty table gives no rows;
 other columns are ignored.
 """
@@ -35,6 +39,8 @@ from eventlens.operators.scans import positioned
 from eventlens.session import cut, small
 
 JUNK, INSIDE, PROSE, LINKS, HEADER = 1, 2, 4, 8, 16
+#: Marked as junk by a name, in an article element, and in a container inside what a name marks.
+NAMED, ARTICLE, WRAPPED = 32, 64, 128
 #: Pages of a host that must have a line of prose before it can be the host's.
 USUAL_PAGES = 3
 
@@ -56,6 +62,8 @@ JUNK_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adverti
               "subscription", "signup", "login", "form", "search", "social", "share", "sharing", "related",
               "recommended", "comment", "comments", "disqus", "replies", "toolbar", "skip", "pagination", "pager"}
 HEADER_WORDS = {"header", "masthead"}
+#: First and last words of names that tell the state of a page, such as ``has-sidebar``.
+STATE_FIRST, STATE_LAST = {"has", "no", "with", "without"}, {"free", "open"}
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert",
               "menu", "menubar", "toolbar", "form"}
 
@@ -75,32 +83,37 @@ def _marks(tag: str, attributes: str, above: int) -> int:
         marks |= JUNK
     if tag == "header":
         marks |= HEADER
-    if tag in ("article", "main"):
-        marks |= INSIDE
+    article, main = tag == "article", tag == "main"
     marks = marks & ~PROSE | (PROSE if tag in SPEECH or tag in INLINE and above & PROSE else 0)
+    words: set[str] = set()
     if attributes and not attributes.isspace():
-        words: set[str] = set()
         for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
             name, value = (name or bare).lower(), (a or b or c).lower()
             if name in ("class", "id"):
-                words.update(NAME_PART.split(value))
+                for part in map(NAME_PART.split, value.split()):
+                    if part[0] not in STATE_FIRST and part[-1] not in STATE_LAST:
+                        words.update(part)
             elif name == "role":
                 if value in JUNK_ROLES:
                     marks |= JUNK
-                elif value in ("main", "article"):
-                    marks |= INSIDE
+                article, main = article or value == "article", main or value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 marks |= JUNK
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 marks |= JUNK
-        if tag in ("html", "body", "main"):
-            words.clear()
-        elif tag == "article":
-            words &= {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"}
-        if words & JUNK_WORDS:
-            marks |= JUNK
-        if words & HEADER_WORDS:
-            marks |= HEADER
+    if main and not above & INSIDE or article and not above & ARTICLE:
+        if marks & (NAMED | HEADER):
+            marks = marks & ~(NAMED | HEADER) | WRAPPED
+    if article or main:
+        marks |= INSIDE | (ARTICLE if article else 0)
+    if main or tag in ("html", "body"):
+        words.clear()
+    elif article:
+        words &= {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"}
+    if words & JUNK_WORDS:
+        marks |= NAMED
+    if words & HEADER_WORDS:
+        marks |= HEADER
     if tag in HEADINGS and marks & INSIDE:
         marks &= ~HEADER
     return marks
@@ -218,13 +231,16 @@ def main_text(
 ) -> str:
     """The article of a page, given the lines of its nearest page and those usual on its host;
     ``lines`` stand for ``texts`` in the comparison, such as hashes on both sides."""
-    contained = any(m & INSIDE and not m & JUNK for m in marks)
+    barred = JUNK | HEADER | NAMED | WRAPPED
+    contained = any(m & INSIDE and not m & (JUNK | NAMED | WRAPPED) for m in marks)
+    if not contained and any(m & INSIDE and not m & (JUNK | NAMED) for m in marks):
+        contained, barred = True, JUNK | HEADER | NAMED
     lines, everywhere = lines or texts, set(usual or ())
     common = shared(lines, other) if other else set()
 
     def fits(k: int) -> bool:
         m = marks[k]
-        if m & (JUNK | HEADER):
+        if m & barred:
             return False
         return bool(m & INSIDE) if contained else not m & LINKS
 
@@ -232,6 +248,8 @@ def main_text(
         return lines[k] in everywhere if contained and marks[k] & PROSE else k in common
 
     kept = [k for k in range(len(texts)) if fits(k)]
+    if not kept:  # names have taken all
+        return "\n".join(t for k, t in enumerate(texts) if not marks[k] & (JUNK | LINKS) and k not in common)
     fresh = [k for k in kept if not repeats(k)]
     return "\n".join(texts[k] for k in (fresh or kept))
 
@@ -297,7 +315,7 @@ def _neighbours(distinct: DataFrame) -> DataFrame:
 def _usual(distinct: DataFrame) -> DataFrame:
     """``host, usual``: the lines of prose inside containers that are the host's, of hosts with any."""
     prose = F.filter(
-        "lines", lambda _, k: F.get("marks", k).bitwiseAND(JUNK | INSIDE | PROSE | HEADER) == (INSIDE | PROSE)
+        "lines", lambda _, k: F.get("marks", k).bitwiseAND(JUNK | NAMED | INSIDE | PROSE | HEADER) == (INSIDE | PROSE)
     )
     counts = cut(
         distinct.select("host", F.array_distinct(prose).alias("prose"))

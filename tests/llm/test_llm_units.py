@@ -177,6 +177,26 @@ def test_pages_without_a_container_lose_shared_lines():
     assert page_diff.main_text(*page_diff.blocks(None), None) == ""
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-menu", "search-results", "ad-free", "modal-open",
+                                  "sidebar-left", "header-fixed"])
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_pages_in_a_named_wrapper_keep_the_article(name, tag):
+    page = f'<body><div class="{name}"><{tag}><p>Story</p><div class="ad">Buy</div></{tag.split()[0]}><p>Aside</p></div></body>'
+    assert page_diff.main_text(*page_diff.blocks(page), None) == "Story"
+    bare = f'<body><div id="{name}"><p>{{}}</p><p>Rights</p><nav>Home</nav></div></body>'
+    one, two = page_diff.blocks(bare.format("Alpha")), page_diff.blocks(bare.format("Beta"))
+    assert page_diff.main_text(*one, two[0]) == "Alpha"
+
+
+def test_named_cards_stay_out_beside_a_clear_article():
+    cards = '<div class="related"><article><p>Card</p></article></div>'
+    reply = '<div class="comments"><article><p>Reply</p></article></div>'
+    for page in (f"<article><p>Story</p>{reply}</article>{cards}", f"<main><p>Story</p>{cards}</main>",
+                 f'<div class="sidebar-left"><article><p>Story</p>{reply}</article></div>',
+                 f'<div class="has-sidebar"><article><p>Story</p></article></div>{cards}'):
+        assert page_diff.main_text(*page_diff.blocks(page), None) == "Story"
+
+
 def test_folding_and_exceptions():
     assert toxicity.folded("1D​10T іdіоt") == "idiot idiot"
     lexicon = toxicity.Lexicon({"clown": (5.0, True), "idio": (6.0, False)}, frozenset({"clown fish"}), [0.0] * 32, 40.0)
