@@ -89,9 +89,9 @@ def regenerated(conversations: DataFrame) -> DataFrame:
     """Rejected sides for a table of plain conversations, as ``conv_id, turn, role, text``.
 
     From turn ``conv_id % turns`` on, each assistant turn says what the assistant turn two before
-    it said; a conversation without such a turn stays as it is.
+    it said; a conversation without such a turn, or without an id, stays as it is.
     """
-    sizes = conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    sizes = conversations.groupBy(F.col("conv_id").alias("_sized")).agg(F.count(F.lit(1)).alias("turns"))
     before = conversations.where(F.col("role") == TRAINED_ROLE).select(
         F.col("conv_id").alias("_conv"), (F.col("turn") + 2).alias("_turn"), F.col("text").alias("_text")
     )
@@ -99,7 +99,7 @@ def regenerated(conversations: DataFrame) -> DataFrame:
     swapped = (F.col("role") == TRAINED_ROLE) & late & F.col("_conv").isNotNull()
     return (
         conversations.select("conv_id", "turn", "role", "text")
-        .join(sizes, "conv_id")
+        .join(sizes, F.col("conv_id").eqNullSafe(F.col("_sized")))
         .join(
             before,
             (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")),

@@ -237,6 +237,18 @@ def test_preference_turns(spark):
     assert preference.preference_turns(empty, empty).count() == 0
 
 
+def test_preference_query_keeps_turns_without_an_id(spark, tmp_path):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"t{k}") for c in (None, 4) for k in range(4)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = rows_of(queries.op5_preference_format(spark, str(tmp_path)).select("pair_id", "part", "turn", "piece"))
+    piece = {k: f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, k, r, t in rows}
+    assert got == sorted(
+        [(None, "prompt", k, piece[k]) for k in range(4)] + [(4, "prompt", k, piece[k]) for k in range(3)]
+        + [(4, "chosen", 3, piece[3]), (4, "rejected", 3, piece[1])], key=repr
+    )
+
+
 def test_page_texts(spark):
     page = "<body><div>Site</div><p>{}</p></body>"
     rows = [(1, "http://h/a/1", page.format("one"), "x"), (2, "http://h/a/2?q", page.format("two"), "x"),
