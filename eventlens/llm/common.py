@@ -20,6 +20,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def quoted(column: str) -> str:
+    """A column's name in back quotes, whatever characters it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file of the installed collection; operators take any path."""
     import public_tokenizers
