@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.llm import bagminhash, exact_dedup, metric_join, packing, page_diff, preference, segment_bpe, suffixes, token_files, toxicity
+from eventlens.llm import (
+    bagminhash, exact_dedup, line_dedup, metric_join, packing, page_diff, preference, runs, segment_bpe, suffixes,
+    token_align, token_files, toxicity,
+)
 from eventlens.llm.common import table, tokenizer_path
 
 #: Vocabulary files of the tokenizer collection.
-WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -107,6 +110,41 @@ def op8_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return suffixes.repeats_removed(table(spark, directory, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, directory, "documents"))
+
+
+OP11_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+  FROM documents
+), keyed AS (
+  SELECT *, translate(
+    trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, min(doc_id) AS keep_id FROM keyed WHERE length(key) >= 10
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), told AS (
+  SELECT doc_id, place, line, coalesce(doc_id <> keep_id, false) AS gone
+  FROM keyed LEFT JOIN shared ON keyed.key = shared.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    return runs.run_report(table(spark, directory, "documents"), repeated=True)
+
+
+def op13_token_alignment(spark: SparkSession, directory: str) -> DataFrame:
+    return token_align.aligned(table(spark, directory, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Query] = {
     "op1_page_diff": op1_page_diff,
     "op2_simple8b_tokens": op2_simple8b_tokens,
@@ -118,8 +156,12 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_metric_join": op10_metric_join,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op5_preference_format": OP5_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_line_dedup": OP11_SQL,
 }
