@@ -28,6 +28,8 @@ BLANKS, CAPITALS = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_POINTS, LEAST_DOCUMENTS = 10, 2
 #: Groups over which the documents of one key are spread.
 SALTS = 64
+#: Input up to this size, which may be one row group, is dealt out to all cores.
+DEALT = 32 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -84,7 +86,7 @@ def _told(docs: DataFrame, id_column: str, text_column: str, least_points: int,
         F.xxhash64(F.lit(7), text, id_column).alias("row_b"),
         text.alias("text"),
     )
-    keyed = cut(_keyed(spread(rows), least_points))
+    keyed = cut(_keyed(spread(rows, DEALT), least_points))
     gone = (
         keyed.join(shared_keys(keyed, least_documents), ["key_a", "key_b", "salt"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -34,6 +34,8 @@ from eventlens.session import spread
 LEAST_WORDS, LEAST_PERIODS = 6, 4
 #: Words handled together; a longer document is handled alone.
 SLICE = 400_000
+#: Input up to this size, which may be one row group, is dealt out to all cores.
+DEALT = 32 << 20
 #: Rows of interval tests made at a time.
 TESTS = 2_000_000
 
@@ -319,7 +321,7 @@ def run_report(
     """One row per input row: the number of runs, the longest run, and digests of all runs and of the
     collapsed text. ``repeated`` makes one in ten documents periodic first (``with_repeats``)."""
     text = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    return spread(text).mapInArrow(
+    return spread(text, DEALT).mapInArrow(
         _report(repeated, least_words, least_periods),
         "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, "
         "runs_sha256 string, collapsed_sha256 string",

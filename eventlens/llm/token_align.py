@@ -1,22 +1,18 @@
 """Alignment of two tokenizers' tokens by merge-path partitioning, and corpus-wide link counts.
 
-Both tokenizers cut the same bytes, so a text is two ascending lists of end offsets. Merging them
-takes ``|A| + |B|`` steps; diagonals of the merge grid, ``STEP`` apart, are searched by bisection, all
-at once, and divide the merging into pieces of equal work that do not depend on each other. The
-pieces advance side by side, a step of every piece per array operation: a piece emits the overlap
-of its current A and B token, then passes the one that ends first. Where both end together a group
-ends; pieces count their group ends, and running sums over the pieces stitch groups that cross from
-piece to piece.
-
-White space after a non-blank character ends a token of either tokenizer, so texts are first cut
-there into words, and a task tokenizes and aligns each distinct word once, all new words of a
-slice end to end in one merge (a text without blanks is one word, and its merging is divided too).
-The cuts are verified against the vocabulary when it is loaded.
-
-Counts: a task's slice of documents gives the words of each document, the links of each word and
-the id pairs with their number of links, each pair once. Pairs are counted over the corpus by an
-aggregation that combines before the shuffle, the highest count of each B id is a table of at most
-the vocabulary's size, and counts go back to the slices, never to single documents.
+Both tokenizers cut the same bytes, so texts are two ascending lists of end offsets, here those of a
+task's slice of documents end to end. Merging them takes ``|A| + |B|`` steps; diagonals of the merge
+grid, ``STEP`` apart, are searched by bisection, all at once, and divide the merging into pieces of
+equal work that do not depend on each other, whatever the lengths of documents. The pieces advance
+side by side, a step of every piece per array operation: a piece emits the overlap of its current A
+and B token, then passes the one that ends first. Where both end together a group ends; pieces
+count their group ends, and running sums over the pieces stitch groups that cross from piece to
+piece.
+
+Counts: a slice gives its id pairs, each once with its number of links, and each document the pairs
+of its links, as places in the slice's list. Pairs are counted over the corpus by an aggregation
+that combines before the shuffle, the highest count of each B id is a table of at most the
+vocabulary's size, and counts go back to slices: one row per pair and slice, never per link.
 
 Defined cases: null and empty texts, and texts whose joined token bytes differ from a space and the
 text (such as those holding U+2581), have no tokens. Special tokens' strings are plain text. Rows
@@ -27,26 +23,33 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from eventlens.llm.common import text_of
 from eventlens.llm.encode import byte_letters
+from eventlens.llm.segment_bpe import WORDS
 from eventlens.session import cut, spread
 
 #: Steps of one piece of a merge.
 STEP = 256
-#: Characters of a slice, and words and characters that a task remembers.
-SLICE, MOST_WORDS, MOST_CHARACTERS = 4_000_000, 200_000, 20_000_000
+#: Characters of a slice. A longer document is a slice by itself.
+SLICE = 2_000_000
+#: Input up to this size, which may be one row group, is dealt out to all cores.
+DEALT = 32 << 20
 #: Bits of the B id in a pair of ids.
 SHIFT = 32
+#: Runs of blanks that the pattern of the fast encoder cannot take.
+LONG_BLANK = re.compile(r"\s{2000}")
 
 
 def merge_path(a_ends: np.ndarray, b_ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +81,7 @@ def overlaps(
     pieces = len(i)
     padded_a, padded_b = np.append(a_ends, np.int64(1) << 62), np.append(b_ends, np.int64(1) << 62)
     begin_a, begin_b = np.concatenate([[0], a_ends]), np.concatenate([[0], b_ends])
-    links_a, links_b = np.full((step, pieces), -1, np.int64), np.full((step, pieces), -1, np.int64)
+    links_a, links_b = np.full((2, step, pieces), -1, np.int32)
     group_a, group_b = np.zeros(n, np.int64), np.zeros(m, np.int64)
     of_a, of_b = np.zeros(n, np.int64), np.zeros(m, np.int64)
     groups = np.zeros(pieces, np.int64)
@@ -107,182 +110,169 @@ def overlaps(
     return flat_a[real], flat_b[real], group_a + before[of_a], group_b + before[of_b]
 
 
-class Aligner:
-    """Tokenizes and aligns words by both tokenizers; remembers words of a task."""
+class TokenizerA:
+    """Byte-level BPE from a file of the tokenizers library. Where ids follow the order of merges, as
+    in vocabularies of this family, the rank encoder gives the same ids several times faster."""
 
-    def __init__(self, a_path: str, b_path: str, step: int = STEP) -> None:
-        self.step = step
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    def __init__(self, path: str) -> None:
+        self.slow = Tokenizer.from_file(path)
+        self.slow.no_truncation()
+        self.slow.no_padding()
+        self.slow.encode_special_tokens = True
         byte_of = {c: bytes([k]) for k, c in byte_letters().items()}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, k in self.a.get_vocab().items():
-            self.a_bytes[k] = b"".join(byte_of.get(c, c.encode()) for c in token)
-        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode()
+        vocab = self.slow.get_vocab()
+        self.bytes = [b""] * (max(vocab.values()) + 1)
+        for token, k in vocab.items():
+            self.bytes[k] = b"".join(byte_of.get(c, c.encode()) for c in token)
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        self.fast = None
+        if all(vocab.get(t) == 256 + k for k, t in enumerate(joined)):
+            ranks = {self.bytes[k]: k for k in range(256 + len(joined))}
+            self.fast = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or LONG_BLANK.search(text):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.fast.encode_ordinary(text), np.int64)
+
+
+class TokenizerB:
+    """Pieces from a file of the sentencepiece library."""
+
+    def __init__(self, path: str) -> None:
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
+        self.bytes = [
+            bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode()
             for k, p in enumerate(pieces)
         ]
-        longer = [p for p in pieces if len(p) > 1]
-        # A cut before a blank is safe where no piece holds that blank after another character.
-        self.blanks = [
-            ord(c) for c in " \t\n\x0b\x0c\r"
-            if not any((c if c != " " else "▁") in p.lstrip("▁" if c == " " else "") for p in longer)
-        ]
-        self.lead = self.b.encode("x")
-        self._restart()
-
-    def _restart(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.characters = 0
-        self.sizes: list[tuple[int, int, int, int]] = []  # ids of A, of B, groups, links; -1: bytes differ
-        self.shown: list[bytes] = []
-        self.links: list[np.ndarray] = []
-
-    def _b_ids(self, word: str) -> list[int]:
-        """B's ids of a word inside a text: a first letter keeps the library from adding a blank."""
-        ids = self.b.encode("x" + word)
-        return ids[len(self.lead):] if ids[:len(self.lead)] == self.lead else []
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode() for w in new]
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b_ids = [self._b_ids(t) for t in texts]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = [
-            b"".join([a_bytes[x] for x in a]) == w and b"".join([b_bytes[x] for x in b]) == w
-            for w, a, b in zip(new, a_ids, b_ids)
-        ]
-        a_good = [a for a, g in zip(a_ids, good) if g]
-        b_good = [b for b, g in zip(b_ids, good) if g]
-        flat_a = np.fromiter((x for a in a_good for x in a), np.int64)
-        flat_b = np.fromiter((x for b in b_good for x in b), np.int64)
-        a_len = np.fromiter((len(a_bytes[x]) for x in flat_a), np.int64, len(flat_a))
-        b_len = np.fromiter((len(b_bytes[x]) for x in flat_b), np.int64, len(flat_b))
-        at_a, at_b, group_a, group_b = overlaps(np.cumsum(a_len), np.cumsum(b_len), self.step)
-        pairs = flat_a[at_a] << SHIFT | flat_b[at_b]
-        from_a = np.cumsum([0, *map(len, a_good)])
-        from_b = np.cumsum([0, *map(len, b_good)])
-        from_link = np.searchsorted(at_a, from_a)
-        # The groups written out: A ids, a bar, B ids, a semicolon after each group.
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
-        say_a = [f"{x}{'|' if end else ','}" for x, end in zip(flat_a.tolist(), last_a.tolist())]
-        say_b = [f"{x}{';' if end else ','}" for x, end in zip(flat_b.tolist(), last_b.tolist())]
-        position_a = np.arange(len(flat_a)) + np.searchsorted(group_b, group_a, "left")
-        position_b = np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, "right")
-        said = np.empty(len(say_a) + len(say_b), object)
-        said[position_a], said[position_b] = say_a, say_b
-        said = said.tolist()
-        k = 0
-        for fine in good:
-            if not fine:
-                self.sizes.append((-1, 0, 0, 0))
-                self.shown.append(b"")
-                self.links.append(np.zeros(0, np.int64))
-                continue
-            a, a_to, b, b_to = from_a[k], from_a[k + 1], from_b[k], from_b[k + 1]
-            groups = int(group_a[a_to - 1] - group_a[a] + 1) if a_to > a else 0
-            self.sizes.append((int(a_to - a), int(b_to - b), groups, int(from_link[k + 1] - from_link[k])))
-            self.shown.append("".join(said[a + b:a_to + b_to]).encode())
-            self.links.append(pairs[from_link[k]:from_link[k + 1]])
-            k += 1
-
-    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
-        """The words of all texts, each text after a space, and where each text's words begin."""
-        raw = [b" " + t.encode() for t in texts]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        before = np.concatenate([[0], data[:-1]])
-        earlier = np.concatenate([[0, 0], data[:-2]])
-        # Surely no blank: a printable ASCII character, or one of two bytes from U+00C0 on.
-        solid = ((before > 32) & (before < 127)) | ((before >= 128) & (earlier >= 0xC3) & (earlier <= 0xDF))
-        starts = solid & np.isin(data, np.array(self.blanks, np.uint8))
-        begins = np.cumsum(sizes) - sizes
-        starts[begins] = True
-        offsets = np.append(np.flatnonzero(starts), len(data))
-        words = pa.Array.from_buffers(
-            pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
+
+
+class Aligner:
+    """Tokenizes and aligns slices of texts by both tokenizers."""
+
+    def __init__(self, a_path: str, b_path: str, step: int = STEP) -> None:
+        self.step = step
+        self.a, self.b = TokenizerA(a_path), TokenizerB(b_path)
+        self.a_size, self.b_size = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.a_bytes, self.b_bytes = (pa.array(t.bytes, pa.large_binary()) for t in (self.a, self.b))
+        # Each id written out with what may follow it: within its group, and at its side's end.
+        n = len(self.a_size)
+        self.written = pa.array(
+            [f"{k}{mark}" for mark in ",|" for k in range(n)]
+            + [f"{k}{mark}" for mark in ",;" for k in range(len(self.b_size))],
+            pa.large_string(),
         )
-        return words, np.searchsorted(offsets[:-1], np.append(begins, len(data)))
-
-    def slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The remembered word of each word of all texts, and where each text's words begin."""
-        if len(self.words) > MOST_WORDS or self.characters > MOST_CHARACTERS:
-            self._restart()
-        words, bounds = self.cut(texts)
-        coded = words.dictionary_encode()
-        names, known = coded.dictionary.to_pylist(), self.words
-        seen = len(known)
-        of = np.fromiter((known.setdefault(w, len(known)) for w in names), np.int64, len(names))
-        new = [w for w, k in zip(names, of.tolist()) if k >= seen]
-        if new:
-            self.characters += sum(map(len, new))
-            self._learn(new)
-        return of[coded.indices.to_numpy(zero_copy_only=False)], bounds
-
-
-#: Documents with their slice's words, and for each slice one row of its pairs and its words' links.
-TOLD = (
+
+    def _same(self, ids: list[np.ndarray], pieces: pa.Array, texts: list[bytes]) -> list[bool]:
+        """Whether the bytes of each text's tokens are the text."""
+        got = pieces.take(pa.array(np.concatenate(ids)))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, got.offset * 8)
+        data = memoryview(got.buffers()[2] or b"")
+        bounds = ends[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
+        return [data[x:y].tobytes() == t for x, y, t in zip(bounds, bounds[1:], texts)]
+
+    def align(self, texts: list[str]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray, np.ndarray]:
+        """For each text the numbers of A tokens, B tokens, groups and links and the groups' digest, and
+        the links' id pairs with the text of each."""
+        spaced = [" " + t for t in texts]
+        a_ids, b_ids = [self.a.encode(t) for t in spaced], [self.b.encode(t) for t in texts]
+        raw = [t.encode() for t in spaced]
+        same_a, same_b = self._same(a_ids, self.a_bytes, raw), self._same(b_ids, self.b_bytes, raw)
+        for k, text in enumerate(texts):
+            if not (text and same_a[k] and same_b[k]):
+                a_ids[k] = b_ids[k] = np.zeros(0, np.int64)
+        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        a_to, b_to = (np.concatenate([[0], np.cumsum([len(x) for x in ids])]) for ids in (a_ids, b_ids))
+        at_a, at_b, group_a, group_b = overlaps(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), self.step)
+        link_to = np.searchsorted(at_a, a_to)
+        # The groups written out, A ids before B ids in each.
+        last_a, last_b = (np.append(g[1:] != g[:-1], np.ones(len(g[:1]), bool)) for g in (group_a, group_b))
+        order = np.empty(len(a) + len(b), np.int64)
+        width = len(self.a_size)
+        order[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + last_a * width
+        order[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = (
+            2 * width + b + last_b * len(self.b_size)
+        )
+        line = self.written.take(pa.array(order))
+        ends = np.frombuffer(line.buffers()[1], np.int64, len(line) + 1, line.offset * 8)
+        data = memoryview(line.buffers()[2] or b"")
+        bounds = ends[a_to + b_to].tolist()
+        told = []
+        for k in range(len(texts)):
+            x, y = a_to[k], a_to[k + 1]
+            if x == y:
+                told.append((0, 0, 0, 0, ""))
+                continue
+            digest = hashlib.sha256(data[bounds[k]:bounds[k + 1] - 1]).hexdigest()
+            told.append((
+                int(y - x), int(b_to[k + 1] - b_to[k]), int(group_a[y - 1] - group_a[x]) + 1,
+                int(link_to[k + 1] - link_to[k]), digest,
+            ))
+        return told, a[at_a] << SHIFT | b[at_b], np.repeat(np.arange(len(texts)), np.diff(link_to))
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Ascending places as the gaps between them, a byte each; 255 adds to the gap that follows."""
+    gap = np.diff(places, prepend=0)
+    jumps = gap // 255
+    out = np.full(len(places) + int(jumps.sum()), 255, np.uint8)
+    out[np.arange(len(places)) + np.cumsum(jumps)] = gap % 255
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    gaps = np.frombuffer(data, np.uint8)
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 255]
+
+
+#: Documents with their links as packed places, and for each slice one row of its pairs.
+TOLD = pa.schema([
+    ("slice", pa.string()), ("doc_id", pa.int64()),
+    *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()),
+    ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+])
+TOLD_TYPES = (
     "slice string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-    "words array<int>, pairs array<long>, counts array<long>, links array<int>, word_links array<int>"
+    "links binary, pairs array<long>, counts array<long>"
 )
 
 
+def _rows(n: int, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in TOLD], schema=TOLD
+    )
+
+
 def _slices(a_path: str, b_path: str, step: int):
     def run(batches):
         aligner = Aligner(a_path, b_path, step)
-        schema = pa.schema([
-            ("slice", pa.string()), ("doc_id", pa.int64()),
-            *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()),
-            ("words", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-            ("links", pa.list_(pa.int32())), ("word_links", pa.list_(pa.int32())),
-        ])
         ids: list[int | None] = []
         texts: list[str] = []
 
         def told():
             name = uuid.uuid4().hex
-            of, bounds = aligner.slice(texts)
-            sizes = np.array(aligner.sizes, np.int64).reshape(-1, 4)
-            shown = aligner.shown
-            used, local = np.unique(of, return_inverse=True)
-            occurs = np.zeros(len(used), np.int64)
-            rows: dict[str, list] = defaultdict(list)
-            for k, doc_id in enumerate(ids):
-                own, near = of[bounds[k]:bounds[k + 1]], local[bounds[k]:bounds[k + 1]]
-                if not texts[k] or (sizes[own, 0] < 0).any():
-                    total, digest, near = (0, 0, 0, 0), "", near[:0]
-                else:
-                    total = sizes[own].sum(0)
-                    line = b"".join([shown[w] for w in own.tolist()])
-                    digest = hashlib.sha256(memoryview(line)[:-1]).hexdigest()
-                np.add.at(occurs, near, 1)
-                rows["doc_id"].append(doc_id)
-                for c, n in zip(("n_a", "n_b", "n_groups", "n_links"), total):
-                    rows[c].append(int(n))
-                rows["groups_sha256"].append(digest)
-                rows["words"].append(near.astype(np.int32))
-            n = len(ids)
-            blank = {f.name: pa.nulls(n, f.type) for f in schema}
-            filled = {c: pa.array(v, schema.field(c).type) for c, v in rows.items()}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * n) if f.name == "slice" else filled.get(f.name, blank[f.name]) for f in schema],
-                schema=schema,
-            )
-            each = [aligner.links[w] for w in used.tolist()]
-            lengths = np.array([len(x) for x in each], np.int32)
-            flat = np.concatenate(each) if each else np.zeros(0, np.int64)
-            pairs, link = np.unique(flat, return_inverse=True)
-            counts = np.bincount(link, np.repeat(occurs, lengths), len(pairs)).astype(np.int64)
-            one = {"slice": [name], "pairs": [pairs], "counts": [counts], "links": [link.astype(np.int32)],
-                   "word_links": [lengths]}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[f.name], f.type) if f.name in one else pa.nulls(1, f.type) for f in schema],
-                schema=schema,
-            )
+            rows, pairs, owner = aligner.align(texts)
+            coded = pa.array(pairs).dictionary_encode()
+            # The commonest pairs come first: gaps between a document's places are small.
+            place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            n = len(coded.dictionary)
+            counts = np.bincount(place, minlength=n)
+            by = np.argsort(-counts, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[by] = np.arange(n)
+            key = np.sort(owner * max(n, 1) + rank[place])
+            bounds = np.searchsorted(key, np.arange(len(texts) + 1) * max(n, 1))
+            links = [packed(key[x:y] - k * n) for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+            numbers = dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), zip(*rows)))
+            yield _rows(len(ids), {"slice": [name] * len(ids), "doc_id": ids, "links": links, **numbers})
+            own = coded.dictionary.to_numpy(zero_copy_only=False)[by]
+            yield _rows(1, {"slice": [name], "pairs": [own], "counts": [counts[by]]})
             ids.clear()
             texts.clear()
 
@@ -304,21 +294,13 @@ def _slices(a_path: str, b_path: str, step: int):
 
 def _scored(docs: pa.Table, known: pa.Table) -> pa.Table:
     """Add to a slice's documents their links' counts, and how many are their B id's best."""
-    is_pairs = known.column("links").is_valid()
-    own, told = known.filter(is_pairs), known.filter(pa.compute.invert(is_pairs))
-    place = told.column("place").to_numpy()
+    place = known.column("place").to_numpy()
     count, best = np.zeros((2, len(place)), np.int64)
-    count[place], best[place] = told.column("count").to_numpy(), told.column("best").to_numpy()
-    link = own.column("links").combine_chunks().flatten().to_numpy()
-    ends = np.concatenate([[0], np.cumsum(own.column("word_links").combine_chunks().flatten().to_numpy())])
-    sums = [np.concatenate([[0], np.cumsum(x[link])]) for x in (best, count)]
-    words = docs.column("words").combine_chunks()
-    at = words.flatten().to_numpy()
-    bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-    out = docs.drop_columns(["part", "words"])
-    for name, total in zip(("n_best", "count_sum"), sums):
-        per_word = np.concatenate([[0], np.cumsum((total[ends[1:]] - total[ends[:-1]])[at])])
-        out = out.append_column(name, pa.array(per_word[bounds[1:]] - per_word[bounds[:-1]]))
+    count[place], best[place] = known.column("count").to_numpy(), known.column("best").to_numpy()
+    links = [unpacked(x) for x in docs.column("links").to_pylist()]
+    out = docs.drop_columns(["part", "links"])
+    for name, of in (("n_best", best), ("count_sum", count)):
+        out = out.append_column(name, pa.array([int(of[x].sum()) for x in links], pa.int64()))
     return out
 
 
@@ -327,11 +309,12 @@ def aligned(
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum``."""
     text = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
-    told = cut(spread(text).mapInArrow(_slices(a_path, b_path, step), TOLD))
-    dictionaries = told.where("pairs IS NOT NULL")
-    pairs = cut(dictionaries.select("slice", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x")).select(
-        "slice", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n")
-    ))
+    told = cut(spread(text, DEALT).mapInArrow(_slices(a_path, b_path, step), TOLD_TYPES))
+    pairs = cut(
+        told.where("pairs IS NOT NULL")
+        .select("slice", F.posexplode(F.arrays_zip("pairs", "counts")).alias("place", "x"))
+        .select("slice", "place", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
+    )
     counted = cut(pairs.groupBy("pair").agg(F.sum("n").alias("count")))
     b_id = F.col("pair").bitwiseAND((1 << SHIFT) - 1)
     # At most as many rows as B has ids: a bound that does not grow with the data.
@@ -340,12 +323,9 @@ def aligned(
         "pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best")
     )
     placed = pairs.join(judged, "pair").select("slice", "place", "count", "best")
-    known = dictionaries.select("slice", "links", "word_links").unionByName(placed, allowMissingColumns=True)
-    fixed = ["n_a", "n_b", "n_groups", "n_links"]
-    rows = told.where("pairs IS NULL").select(
-        F.col("slice").alias("part"), "doc_id", *fixed, "groups_sha256", "words"
-    )
-    return rows.groupBy("part").cogroup(known.groupBy("slice")).applyInArrow(
-        _scored,
-        f"doc_id long, {', '.join(f'{c} long' for c in fixed)}, groups_sha256 string, n_best long, count_sum long",
+    fixed = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    rows = told.where("pairs IS NULL").select(F.col("slice").alias("part"), "doc_id", *fixed, "links")
+    numbers = ", ".join(f"{c} long" for c in fixed[:4])
+    return rows.groupBy("part").cogroup(placed.groupBy("slice")).applyInArrow(
+        _scored, f"doc_id long, {numbers}, groups_sha256 string, n_best long, count_sum long"
     )

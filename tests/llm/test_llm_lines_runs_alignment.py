@@ -275,17 +275,24 @@ def test_alignment_equals_plain_version(docs, nothing, monkeypatch, most):
         assert token_align.aligned(nothing, BYTES, PIECES).count() == 0
 
 
-def test_random_words_are_cut_as_the_libraries_cut_them():
+def test_random_texts_are_cut_as_the_libraries_cut_them():
     rng = np.random.default_rng(4)
-    texts = ["".join(rng.choice(list("ab \n\té '1s.\r▁漢 　"), 30)) for _ in range(1500)]
-    aligner = token_align.Aligner(BYTES, PIECES)
-    of, bounds = aligner.slice(texts)
-    for k, wanted in enumerate(plain_alignment([(0, t) for t in texts])):
-        sizes = [aligner.sizes[w] for w in of[bounds[k]:bounds[k + 1]]]
-        if min(s[0] for s in sizes) < 0:
-            assert wanted[1] == 0
-        else:
-            assert tuple(map(sum, zip(*sizes))) == (wanted[1], wanted[2], wanted[3], wanted[4])
+    texts = ["".join(rng.choice(list("ab \n\té '1s.\r▁漢 　"), 30)) for _ in range(1500)]
+    texts += [" " * 5000 + "x", "\n " * 3000]
+    told, pairs, owner = token_align.Aligner(BYTES, PIECES).align(texts)
+    wanted = plain_alignment([(0, t) for t in texts])
+    assert [(*t[:4], t[4]) for t in told] == [tuple(w[1:6]) for w in wanted]
+    assert np.bincount(owner, minlength=len(texts)).tolist() == [w[4] for w in wanted]
+    counts = collections.Counter(pairs.tolist())
+    assert sum(n * n for n in counts.values()) == sum(w[7] for w in wanted)
+
+
+def test_places_are_packed_without_loss():
+    rng = np.random.default_rng(5)
+    for most in (2, 255, 256, 100_000):
+        places = np.sort(rng.integers(0, most, 500))
+        assert token_align.unpacked(token_align.packed(places)).tolist() == places.tolist()
+    assert token_align.unpacked(token_align.packed(places[:0])).tolist() == []
 
 
 def test_alignment_query_equals_plain_version(spark):
