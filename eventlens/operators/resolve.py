@@ -1,23 +1,16 @@
 """Article identity and correction across sources, in processing order.
 
 A candidate belongs to the article its observation, URL, alias or text points to, and may
-correct or take over that article, which changes what later candidates match. Candidates that
-share no key, URL or near-equal fingerprint cannot affect each other, so connected components
-over those values are replayed independently. Fingerprint links ignore time on purpose: an
-article can take its text from one candidate and its date from another.
-
-Replay sees hashes and lengths only, never texts. A component above ``CHUNK_ROWS`` candidates
-is replayed in consecutive chunks, each starting from the state the previous one wrote, so a
-task holds one chunk of candidates plus the component's distinct articles and URL aliases. The
-latter are not split yet: a component with very many distinct articles is still one task.
+correct or take over that article, which changes what later candidates match. The order is
+kept by ``wavefront``, which settles as rows whatever no earlier candidate can affect; it sees
+hashes and lengths only, never texts. Pointers to the candidates that gave an article its
+title, text, owner and author are turned back into rows at the end.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from types import SimpleNamespace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +18,11 @@ from eventlens.config import DEFAULTS, Settings
 from eventlens.functions import numbers as nm
 from eventlens.functions import simhash, urls
 from eventlens.functions import text as tx
-from eventlens.operators import near_dup, scans
-from eventlens.operators.components import connected_components
+from eventlens.operators import near_dup, scans, wavefront
 from eventlens.operators.identity import upsert_observations
+from eventlens.operators.wavefront import FIELDS, FULL_KINDS, KEY  # noqa: F401
 from eventlens.session import cut
 
-CHUNK_ROWS = 200_000
-DAY = 86_400_000_000
-# Kinds of body that replace any other kind of the same publisher.
-FULL_KINDS = ("extracted", "feed_full", "abstract")
 ARTICLES = (
     "article_id string, source_id string, url string, canonical_url string, url_hash string, "
     "title string, body string, body_kind string, author string, published_at timestamp, "
@@ -44,17 +33,6 @@ OBSERVATIONS = (
     "source_id string, external_id string, article_id string, url string, url_hash string, "
     "metadata variant, seen_at timestamp"
 )
-# One narrow row per article during replay; *_pos point to candidates, null means unchanged.
-_STATE = (
-    "article_id string, node bigint, source_id string, authority int, url_hash string, "
-    "title_hash string, body_hash string, body_kind string, words int, fingerprint bigint, "
-    "published bigint, fetched bigint, owner_pos bigint, title_pos bigint, body_pos bigint, "
-    "author_pos bigint, created boolean, changed boolean, observed boolean, hit boolean"
-)
-_FRAME = (
-    "component bigint, kind string, pos bigint, external_id string, event bigint, has_author boolean, "
-    f"blank boolean, n bigint, {_STATE}"
-)
 
 
 @dataclass(frozen=True)
@@ -98,214 +76,16 @@ def _prepared(candidates: DataFrame, order: list[Column], settings: Settings) ->
     return cut(placed.join(prints, "pos", "left"))
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """``(hub, low)``: the smallest node of every shared value."""
-    return links.groupBy("hub").agg(F.min("node").alias("low"))
-
-
-def _hub(kind: str, *values) -> Column:
-    return F.concat_ws("|", F.lit(kind), *values)
-
-
-def _links(rows: DataFrame, node: str, keyed: bool) -> DataFrame:
-    hubs = [_hub("u", "url_hash"), F.when(F.col("fingerprint").isNotNull(), _hub("f", F.col("fingerprint").cast("string")))]
-    if keyed:
-        hubs.append(_hub("k", "source_id", "external_id"))
-    return rows.select(F.col(node).alias("node"), F.explode(F.array_compact(F.array(*hubs))).alias("hub"))
-
-
-def _grouped(
-    prepared: DataFrame, seeds: DataFrame, seen: DataFrame, settings: Settings
-) -> DataFrame:
-    """``(node, component)`` of candidates and of the existing articles they may touch."""
-    mine = _links(prepared, "pos", keyed=True)
-    prints = prepared.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
-    old_prints = seeds.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
-    every = cut(prints.unionByName(old_prints).distinct())
-    pairs = cut(near_dup.fingerprint_pairs(prints, every, settings.simhash_distance))
-    as_hub = lambda c: _hub("f", F.col(c).cast("string"))
-    reach = (
-        mine.select("hub").unionByName(pairs.select(as_hub("right_fp").alias("hub"))).distinct()
-    )
-    article_links = _links(seeds, "node", keyed=False)
-    observed = seen.join(seeds.select("article_id", "node"), "article_id")
-    observed_links = observed.select(
-        "node",
-        F.explode(F.array(_hub("u", "url_hash"), _hub("k", "source_id", "external_id"))).alias("hub"),
-    )
-    theirs = article_links.unionByName(observed_links).join(reach, "hub", "left_semi")
-    links = cut(mine.unionByName(theirs))
-    lows = cut(_stars(links))
-    edges = links.join(lows, "hub").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    bridges = (
-        pairs.where(F.col("left_fp") != F.col("right_fp"))
-        .select(as_hub("left_fp").alias("hub"), as_hub("right_fp").alias("other"))
-        .join(lows.withColumnRenamed("low", "a"), "hub")
-        .join(lows.select(F.col("hub").alias("other"), F.col("low").alias("b")), "other")
-        .select("a", "b")
-    )
-    return connected_components(links.select("node").distinct(), edges.unionByName(bridges))
-
-
-def _chunked(rows: DataFrame, chunk_rows: int) -> tuple[DataFrame, int]:
-    """Add ``chunk`` per component, counting rows only where a component is too large."""
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest <= chunk_rows:
-        return rows.withColumn("chunk", F.lit(0)), 1
-    counted = scans.running(rows, ["component"], {"before": ("sum", F.lit(1))}, before=True, position="pos")
-    chunk = F.floor(F.coalesce("before", F.lit(0)) / chunk_rows).cast("int")
-    return cut(counted.withColumn("chunk", chunk).drop("before")), -(-largest // chunk_rows)
-
-
-def _walk(settings: Settings):
-    bits, low, high = settings.simhash_distance, settings.near_dup_low, settings.near_dup_high
-    reach = settings.near_dup_days * DAY
-
-    # Fingerprints within ``bits`` of each other agree in at least one of ``bits + 1`` bands.
-    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
-
-    def bands(value):
-        value &= (1 << 64) - 1
-        return [(a, value >> a & (1 << b - a) - 1) for a, b in zip(edges, edges[1:])]
-
-    def earliest_copy(row, articles, by_print, banded):
-        found = None
-        for value in set().union(*(banded.get(band, ()) for band in bands(row.fingerprint))):
-            if ((value ^ row.fingerprint) & (1 << 64) - 1).bit_count() > bits:
-                continue
-            for node in by_print[int(value)]:
-                article = articles[node]
-                moment = article["published"] if article["published"] is not None else article["fetched"]
-                ratio = row.words / max(1, article["words"])
-                if low <= ratio <= high and abs(moment - row.event) <= reach:
-                    found = node if found is None else min(found, node)
-        return found
-
-    def walk(frame: pa.Table) -> pa.Table:
-        rows = {"candidate": [], "article": [], "key": [], "alias": []}
-        for row in frame.to_pylist():
-            rows[row["kind"]].append(SimpleNamespace(**row))
-        component = frame["component"][0].as_py()
-        articles, by_url, by_print, banded, keys, aliases = {}, {}, {}, {}, {}, {}
-        names, decisions = {}, []
-
-        def index(node):
-            article = articles[node]
-            by_url[article["url_hash"]] = node
-            if article["fingerprint"] is not None:
-                if article["fingerprint"] not in by_print:
-                    for band in bands(article["fingerprint"]):
-                        banded.setdefault(band, set()).add(article["fingerprint"])
-                by_print.setdefault(article["fingerprint"], set()).add(node)
-
-        def unindex(node):
-            article = articles[node]
-            if by_url.get(article["url_hash"]) == node:
-                del by_url[article["url_hash"]]
-            holders = by_print.get(article["fingerprint"])
-            if holders:
-                holders.discard(node)
-                if not holders:
-                    del by_print[article["fingerprint"]]
-                    for band in bands(article["fingerprint"]):
-                        banded[band].discard(article["fingerprint"])
-
-        for row in rows["article"]:
-            articles[row.node] = {f: getattr(row, f) for f in FIELDS}
-            names[row.article_id] = row.node
-            index(row.node)
-        for row in rows["key"]:
-            keys[(row.source_id, row.external_id)] = (names[row.article_id], row.url_hash)
-        for row in rows["alias"]:
-            aliases.setdefault(row.url_hash, {})[names[row.article_id]] = row.n
-
-        for row in sorted(rows["candidate"], key=lambda r: r.pos):
-            key = (row.source_id, row.external_id)
-            known = keys.get(key)
-            node = known[0] if known else by_url.get(row.url_hash)
-            if node is None and aliases.get(row.url_hash):
-                node = min(aliases[row.url_hash])
-            if node is None and row.fingerprint is not None:
-                node = earliest_copy(row, articles, by_print, banded)
-            holder = by_url.get(row.url_hash)
-            if node is not None and row.authority > articles[node]["authority"] and holder not in (None, node):
-                # Taking over would give two articles one URL; the candidate changes nothing.
-                decisions.append({"kind": "candidate", "pos": row.pos, "created": False})
-                continue
-            created = node is None
-            if created:
-                node = row.pos
-                articles[node] = dict(
-                    article_id=row.article_id, node=node, source_id=row.source_id,
-                    authority=row.authority, url_hash=row.url_hash, title_hash=row.title_hash,
-                    body_hash=row.body_hash, body_kind=row.body_kind, words=row.words,
-                    fingerprint=row.fingerprint, published=row.published, fetched=row.fetched,
-                    owner_pos=node, title_pos=node, body_pos=node, author_pos=node,
-                    created=True, changed=True, observed=True, hit=True,
-                )
-                index(node)
-            else:
-                article = articles[node]
-                unindex(node)
-                settle(article, row)
-                article["hit"] = True
-                article["observed"] = bool(article["observed"]) or known is None
-                index(node)
-            if known and known[1] != row.url_hash:
-                holders = aliases[known[1]]
-                holders[node] -= 1
-                if not holders[node]:
-                    del holders[node]
-            if known is None or known[1] != row.url_hash:
-                holders = aliases.setdefault(row.url_hash, {})
-                holders[node] = holders.get(node, 0) + 1
-            keys[key] = (node, row.url_hash)
-            decisions.append(
-                {"kind": "candidate", "pos": row.pos, "article_id": articles[node]["article_id"], "created": created}
-            )
-        out = [{"kind": "article", **a} for a in articles.values()] + decisions
-        columns = {name: [r.get(name) for r in out] for name in OUTPUT}
-        columns["component"] = [component] * len(out)
-        return pa.table(
-            {name: pa.array(columns[name], ARROW[kind]) for name, kind in OUTPUT.items()}
-        )
-
-    def settle(article, row):
-        """Apply a repeated candidate to its article."""
-        promoted = row.authority > article["authority"]
-        own = row.source_id == article["source_id"] and row.url_hash == article["url_hash"]
-        if promoted:
-            article.update(
-                source_id=row.source_id, authority=row.authority, url_hash=row.url_hash,
-                title_hash=row.title_hash, body_hash=row.body_hash, body_kind=row.body_kind,
-                words=row.words, fingerprint=row.fingerprint,
-                owner_pos=row.pos, title_pos=row.pos, body_pos=row.pos, changed=True,
-            )
-            if row.has_author:
-                article["author_pos"] = row.pos
-        elif own:
-            same_text = row.body_hash == article["body_hash"]
-            if same_text and article["body_kind"] == "unknown":
-                article["body_kind"] = row.body_kind
-            trusted = row.body_kind == article["body_kind"] or row.body_kind in FULL_KINDS
-            if not same_text and ((trusted and not row.blank) or row.words > article["words"]):
-                article.update(
-                    body_hash=row.body_hash, body_kind=row.body_kind, words=row.words,
-                    fingerprint=row.fingerprint, body_pos=row.pos, changed=True,
-                )
-            if row.title_hash != article["title_hash"]:
-                article.update(title_hash=row.title_hash, title_pos=row.pos, changed=True)
-        if article["published"] is None and row.published is not None:
-            article.update(published=row.published, observed=True)
-
-    return walk
-
-
-FIELDS = [f.split()[0] for f in _STATE.split(", ")]
-_OUTPUT = f"component bigint, kind string, pos bigint, {_STATE}"
-OUTPUT = dict(f.split() for f in _OUTPUT.split(", "))
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+def _near(good: DataFrame, seeds: DataFrame, settings: Settings) -> DataFrame:
+    """``(fingerprint, other)`` of near-equal fingerprints of candidates and articles, both ways."""
+    prints = good.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
+    old = seeds.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
+    every = cut(prints.unionByName(old).distinct())
+    pairs = near_dup.fingerprint_pairs(cut(prints), every, settings.simhash_distance)
+    pairs = cut(pairs.select(F.col("left_fp").alias("fingerprint"), F.col("right_fp").alias("other")))
+    turned = pairs.select(F.col("other").alias("fingerprint"), F.col("fingerprint").alias("other"))
+    itself = every.select("fingerprint", F.col("fingerprint").alias("other"))
+    return cut(pairs.unionByName(turned).unionByName(itself).distinct())
 
 
 def _micros(name: str) -> Column:
@@ -335,20 +115,6 @@ def _seed_state(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return placed.withColumn("node", F.col("node") - F.lit(1 << 62)).select(*FIELDS)
 
 
-def _framed(df: DataFrame, kind: str) -> DataFrame:
-    """Bring rows to the common replay layout."""
-    columns = []
-    for spec in _FRAME.split(", "):
-        name, data_type = spec.split()
-        if name == "kind":
-            columns.append(F.lit(kind).alias("kind"))
-        elif name in df.columns:
-            columns.append(F.col(name).cast(data_type).alias(name))
-        else:
-            columns.append(F.lit(None).cast(data_type).alias(name))
-    return df.select(*columns)
-
-
 def resolve_articles(
     candidates: DataFrame,
     sources: DataFrame,
@@ -356,7 +122,6 @@ def resolve_articles(
     observations: DataFrame,
     as_of,
     settings: Settings = DEFAULTS,
-    chunk_rows: int = CHUNK_ROWS,
 ) -> Resolved:
     """Apply a batch of admitted candidates to the article and observation tables.
 
@@ -369,60 +134,20 @@ def resolve_articles(
     order = [F.desc("authority"), F.asc("name"), F.asc("source_id"), F.asc("position")]
     prepared = _prepared(ranked, order, settings)
     good = prepared.where(F.col("canonical_url").isNotNull())
-    seeds = _seed_state(articles, sources)
-    groups = cut(_grouped(good, seeds, observations, settings))
+    seeds = cut(_seed_state(articles, sources))
     now = F.unix_micros(nm.moment(as_of))
     narrow = good.select(
-        "pos", "source_id", "external_id", "authority", "url_hash", "title_hash", "body_hash",
-        "body_kind", "words", "fingerprint", "blank",
-        F.substring(F.sha2(F.concat_ws("|", "source_id", "external_id"), 256), 1, 32).alias("article_id"),
+        "pos", *KEY, "authority", "url_hash", "title_hash", "body_hash", "body_kind", "words", "fingerprint", "blank",
+        F.substring(F.sha2(F.concat_ws("|", *KEY), 256), 1, 32).alias("article_id"),
         _micros("published_at").alias("published"),
         now.alias("fetched"),
         F.coalesce(_micros("published_at"), now).alias("event"),
         (F.coalesce("author", F.lit("")) != "").alias("has_author"),
-    ).join(groups.withColumnRenamed("node", "pos"), "pos")
-    rows, chunks = _chunked(narrow, chunk_rows)
-    state = seeds.join(groups, "node").select("component", *FIELDS)
-    where = state.select("article_id", "component")
-    seen = observations.join(where, "article_id").select(
-        "component", "source_id", "external_id", "article_id", "url_hash"
     )
-    walk = _walk(settings)
-    decided = None
-    for chunk in range(chunks):
-        batch = rows.where(F.col("chunk") == chunk)
-        active = batch.select("component").distinct()
-        keys = seen.join(batch.select("source_id", "external_id").distinct(), ["source_id", "external_id"], "left_semi")
-        moving = batch.select("url_hash").unionByName(keys.select("url_hash")).distinct()
-        aliases = (
-            seen.join(moving, "url_hash", "left_semi")
-            .groupBy("component", "url_hash", "article_id")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        frame = (
-            _framed(batch, "candidate")
-            .unionByName(_framed(state.join(active, "component", "left_semi"), "article"))
-            .unionByName(_framed(keys, "key"))
-            .unionByName(_framed(aliases, "alias"))
-        )
-        walked = cut(frame.groupBy("component").applyInArrow(walk, _OUTPUT))
-        made = walked.where(F.col("kind") == "candidate").select("pos", "article_id", "created")
-        decided = made if decided is None else decided.unionByName(made)
-        made = made.where(F.col("article_id").isNotNull())
-        after = walked.where(F.col("kind") == "article").select("component", *FIELDS)
-        if chunks == 1:
-            state = after
-            break
-        state = cut(after.unionByName(state.join(active, "component", "left_anti")))
-        fresh = batch.join(made.select("pos", F.col("article_id").alias("_to")), "pos").select(
-            "component", "source_id", "external_id", F.col("_to").alias("article_id"), "url_hash",
-            F.col("pos").alias("seq"),
-        )
-        key = ["source_id", "external_id"]
-        latest = fresh.groupBy(*key).agg(
-            F.max_by(F.struct("component", "article_id", "url_hash"), "seq").alias("_l")
-        ).select("_l.component", *key, "_l.article_id", "_l.url_hash")
-        seen = cut(seen.join(latest.select(*key), key, "left_anti").unionByName(latest.select(*seen.columns)))
+    seen = observations.join(seeds.select("article_id", "node"), "article_id")
+    keys = seen.select(*KEY, F.col("node").alias("k_node"), F.col("url_hash").alias("k_url"))
+    aliases = seen.groupBy("url_hash", "node").agg(F.count(F.lit(1)).alias("n"))
+    state, decided = wavefront.settle(narrow, seeds, keys, aliases, _near(good, seeds, settings), settings)
     return _finish(prepared, good, decided, state, articles, observations, as_of)
 
 

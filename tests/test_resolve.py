@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from eventlens.config import Settings
@@ -118,9 +117,9 @@ def view(rows):
     )
 
 
-@pytest.mark.parametrize("seed,chunk_rows", [(1, 100_000), (3, 15)])
-def test_batches_equal_sequential_pass(spark, seed, chunk_rows):
-    batches = [stream(seed * 10 + i, 30) for i in range(2)]
+def test_batches_equal_sequential_pass(spark):
+    # Nine URLs and twelve keys: nearly all candidates hang together, and most depend on others.
+    batches = [stream(10 + i, 24) for i in range(2)]
     bodies = sorted({c["body"] for b in batches for c in b})
     texts = spark.createDataFrame([(b,) for b in bodies], "body string")
     prints = dict.fromkeys(bodies)
@@ -135,9 +134,7 @@ def test_batches_equal_sequential_pass(spark, seed, chunk_rows):
         frame = spark.createDataFrame([tuple(c.values()) for c in batch], COLUMNS).withColumn(
             "metadata", F.to_variant_object(F.struct(F.lit(i).alias("run")))
         )
-        done = resolve.resolve_articles(
-            frame, sources, articles, observations, now, SETTINGS, chunk_rows
-        )
+        done = resolve.resolve_articles(frame, sources, articles, observations, now, SETTINGS)
         articles, observations = resolve.cut(done.articles), resolve.cut(done.observations)
         assert done.outcomes.where("created").count() == sum(created)
     got = [r.asDict() for r in articles.collect()]
