@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from eventlens.catalog import big, listed, query, stamp
 from eventlens.catalog import sql as s
+from eventlens.config import DEFAULTS
 from eventlens.functions import simhash, urls, vectors
 from eventlens.functions import text as tx
 from eventlens.operators import admission, assignment, events, evidence, identity, near_dup
@@ -227,7 +230,34 @@ def event_clusters(spark, d):
     return assignment.assign_events(_embedded(spark, d))
 
 
-@query("replayed_articles")
+# Candidates in processing order; one that meets a near-equal text whose candidate made an article
+# joins the earliest such article. Only candidates with an earlier near-equal text are walked.
+_REPLAYED = s.prelude(s.SOURCES, s.ARTICLES, _PRINTS).replace("WITH", "WITH RECURSIVE", 1) + """,
+    placed AS (
+      SELECT a.*, fp, row_number() OVER (ORDER BY authority_score DESC, name, article_id) AS pos
+      FROM articles a JOIN sources USING (source_id) LEFT JOIN prints ON doc_id = article_id),
+    near AS (
+      SELECT x.pos, list(y.pos ORDER BY y.pos) AS earlier FROM placed x JOIN placed y
+        ON y.pos < x.pos AND bit_count(xor(x.fp, y.fp)) <= 3
+        AND x.words / greatest(1, y.words) BETWEEN 0.8 AND 1.25
+        AND abs(date_diff('second', x.published_at, y.published_at)) <= 7 * 86400
+      GROUP BY x.pos),
+    steps AS (SELECT *, row_number() OVER (ORDER BY pos) AS step FROM near),
+    walk AS (
+      SELECT CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS joined
+      UNION ALL
+      SELECT s.step, CASE WHEN list_has_all(w.joined, s.earlier) THEN w.joined ELSE list_append(w.joined, s.pos) END
+      FROM walk w JOIN steps s ON s.step = w.step + 1),
+    met AS (
+      SELECT pos, list_filter(earlier, lambda x: NOT list_contains(w.joined, x))[1] AS first
+      FROM steps, (SELECT joined FROM walk ORDER BY step DESC LIMIT 1) w)
+    SELECT p.source_id, CAST(p.article_id AS VARCHAR) AS external_id,
+      substr(sha256(coalesce(f.source_id, p.source_id) || '|' || coalesce(f.article_id, p.article_id)), 1, 32) AS article_id,
+      f.pos IS NULL AS created
+    FROM placed p LEFT JOIN met USING (pos) LEFT JOIN placed f ON f.pos = met.first"""
+
+
+@query("replayed_articles", _REPLAYED)
 def replayed_articles(spark, d):
     """Every document as a candidate of its source, resolved in one batch."""
     docs = tb.articles(spark, d).select(
@@ -243,7 +273,8 @@ def replayed_articles(spark, d):
         F.col("article_id").alias("position"),
     )
     article, seen = resolve.empty_state(spark)
-    done = resolve.resolve_articles(docs, tb.sources(spark, d), article, seen, tb.AS_OF)
+    settings = replace(DEFAULTS, simhash_hash="md5")  # a hash that the checking SQL has too
+    done = resolve.resolve_articles(docs, tb.sources(spark, d), article, seen, tb.AS_OF, settings)
     return done.outcomes.select("source_id", "external_id", "article_id", "created")
 
 
