@@ -67,12 +67,8 @@ STATE_FIRST, STATE_LAST = {"has", "no", "with", "without"}, {"free", "open"}
 JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert",
               "menu", "menubar", "toolbar", "form"}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/>"']+)""")
+TAG_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+))|([^\s=/>"']++)""")
 NAME_PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -119,12 +115,107 @@ def _marks(tag: str, attributes: str, above: int) -> int:
     return marks
 
 
+class _Markup:
+    """The tags of a page, one after the other, each character looked at a bounded number of times.
+    Quotes hide a ``>``; once a tag's quotes run to the end of the page, they do no longer."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.missing: set[str] = set()
+
+    def _ahead(self, what: str, at: int) -> int:
+        """Where ``what`` is next, or -1, which is looked for once only."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The ``>`` that ends the tag whose name ends at ``at``."""
+        plain = self.page.find(">", at)
+        if not self.quotes:
+            return plain
+        while True:
+            close = self._ahead(">", at)
+            marks = [m for m in (self._ahead('"', at), self._ahead("'", at)) if m >= 0]
+            mark = min(marks, default=-1)
+            if close >= 0 and (mark < 0 or close < mark):
+                return close
+            at = self._ahead(self.page[mark], mark + 1) + 1 if mark >= 0 and close >= 0 else 0
+            if not at:
+                self.quotes = False
+                return plain
+
+    def tag(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """``(start, end, slash, name, rest)`` of the next markup; the name of what is no tag is empty."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(opening, start):
+                    end = self._ahead(closing, start + len(opening))
+                    return start, len(page) if end < 0 else end + len(closing), "", "", ""
+            if start < self.last:
+                if page.startswith(("<!", "<?"), start):
+                    return start, page.find(">", start) + 1, "", "", ""
+                named = TAG_NAME.match(page, start + 1)
+                if named:
+                    end = self._tag_end(named.end())
+                    return start, end + 1, named[1], named[2].lower(), page[named.end():end]
+            at = start + 1
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the content of a raw element ends, its end tag included."""
+        found = re.compile(rf"</{tag}\b", re.I).search(self.page, at)
+        end = self.page.find(">", found.end()) if found else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
+class _Open:
+    """The open elements with their marks; the places of each name and of barriers are at hand."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.marks: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def _kinds(self, tag: str) -> list[str]:
+        kinds = [tag]
+        if tag not in INLINE:
+            kinds.append("<block>")
+            if tag not in SPEECH:
+                kinds.append("<barrier>")
+        return kinds
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, marks: int) -> None:
+        for kind in self._kinds(tag):
+            self.places.setdefault(kind, []).append(len(self.names))
+        self.names.append(tag)
+        self.marks.append(marks)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.names) > place:
+            for kind in self._kinds(self.names.pop()):
+                self.places[kind].pop()
+            self.marks.pop()
+
+    def above(self) -> int:
+        return self.marks[-1] if self.marks else 0
+
+
 def blocks(page: str | None) -> tuple[list[str], list[int]]:
-    """The page's blocks of text and their marks, in page order."""
+    """The page's blocks of text and their marks, in page order, in time linear in its length."""
     page = page or ""
+    markup, opened = _Markup(page), _Open()
     texts: list[str] = []
     marks: list[int] = []
-    stack: list[tuple[str, int]] = []
     said: list[str] = []
     linked, here, at = 0, 0, 0
 
@@ -141,48 +232,40 @@ def blocks(page: str | None) -> tuple[list[str], list[int]]:
         nonlocal linked
         if piece:
             said.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened.last("a") >= 0:
                 linked += len(piece)
 
     while at < len(page):
-        found = TOKEN.search(page, at)
+        found = markup.tag(at)
         if not found:
             say(page[at:])
             break
-        say(page[at:found.start()])
-        at = found.end()
-        ending, tag, rest = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+        start, end, ending, tag, rest = found
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         block = tag not in INLINE
         if block:
             close()
         if ending:
             if tag in RAW:
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if not block and stack[k][0] not in INLINE:
-                    break
+            place = opened.last(tag)
+            if place >= 0 and (block or place > opened.last("<block>")):
+                opened.cut(place)
         elif tag in RAW:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = markup.raw_end(tag, at)
         elif tag not in VOID:
             if block and tag in SPEECH:  # an open element of the same kind ends here
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag or stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE and stack[k][0] not in SPEECH:
-                        break
+                place = max(opened.last(tag), opened.last("p"))
+                if place > opened.last("<barrier>"):
+                    opened.cut(place)
             if not rest.endswith("/"):
-                stack.append((tag, _marks(tag, rest, stack[-1][1] if stack else 0)))
+                opened.push(tag, _marks(tag, rest, opened.above()))
         if block:
-            here = stack[-1][1] if stack else 0
+            here = opened.above()
     close()
     return texts, marks
 
