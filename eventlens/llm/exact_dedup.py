@@ -45,8 +45,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     hashed = F.unhex(F.md5("plain")).alias("hash")
     digest = F.unhex(F.sha2("plain", 256)).alias("digest")
     narrow = rows.select("doc_id", "points", hashed, digest)
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("low")))
-    keeps = narrow.groupBy("hash", "digest").agg((-best["low"]).alias("keep_id"))
+    # The complement turns the order of ids around without leaving their range.
+    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("low")))
+    keeps = narrow.groupBy("hash", "digest").agg(F.bitwise_not(best["low"]).alias("keep_id"))
     classes = (
         rows.select(hashed, "plain")
         .groupBy("hash", "plain")
