@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import text_of
+from eventlens.llm.common import quoted, text_of
 from eventlens.llm.encode import in_slices
 from eventlens.llm.shingles import _BASE, _INVERSE, mixed, powers
 from eventlens.session import cut
@@ -405,8 +405,9 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated spans cut out of the texts, all columns kept."""
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select("doc_id", "text", F.struct(*extra).alias("others") if extra else F.lit(0).alias("others"))
-    done = _with_covers(rows)
-    schema = ", ".join(f"`{n}` {t}" for n, t in done.drop("covers").dtypes)
-    out = done.mapInArrow(_cut_out(True), schema)
-    return out.select(*[F.col(c) if c not in extra else F.col("others")[c].alias(c) for c in docs.columns])
+    others = F.struct(*map(quoted, extra)) if extra else F.lit(0)
+    done = _with_covers(docs.select("doc_id", "text", others.alias("others")))
+    out = done.mapInArrow(_cut_out(True), done.drop("covers").schema)
+    return out.select(*[
+        F.col("others").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns
+    ])
