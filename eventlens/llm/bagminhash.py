@@ -13,21 +13,23 @@ m log m points a text, however long it is.
 
 Classes:
 1. Texts of equal multisets collapse to one row by a 128-bit digest, combined before the shuffle.
-2. Band keys bring candidates together. A bucket is never paired within itself: its smallest and
-   its largest id (an aggregation) are compared with each member, and the multisets of each pair
-   are compared exactly.
-3. Links make components. Where a bucket still holds members of several components, those members
-   are paired across components and compared as well. The join takes a pair only if the sizes allow
-   the similarity, the distances of both to the bucket's two hubs do (1 - similarity is a metric),
-   and longer signatures, four bits a value and made for these members only, agree to within 4.5
-   deviations of it. So a bucket of texts that share a passage gives no pairs, nor do outliers beside
-   a dense group of near copies, which is one component by then. No link between candidates is lost but by a chance below one in a million.
+2. Band keys bring candidates together. A bucket is never paired within itself: each text is first
+   compared exactly with one hub, the smallest member of all its buckets.
+3. Links make components. Where a bucket still holds several, the first member of each is compared
+   with the first of the largest one, for a round or two. What still hangs apart is paired across
+   components and compared as well. The join takes a pair only if the sizes allow the similarity,
+   the distances of both to a hub they share do (1 - similarity is a metric), and longer
+   signatures, four bits a value and made for these members only, agree to within 4.5 deviations
+   of it. So a bucket of texts that share a passage gives no pairs, nor do outliers beside a dense
+   group of near copies, which is one component by then. No link between candidates is lost but by
+   a chance below one in a million.
 4. Components over all links are the classes; the smallest id of a class is kept.
 
 With ``BANDS`` bands of ``ROWS`` values a pair of similarity 0.8 is missed with probability 3e-6.
 
 Defined cases: a null text is empty; texts without words form one class. Rows that repeat an id
-with different texts each take part and the id gets the smallest class of its rows. Null ids
+with different texts each take part and are one class, with all that is near to any of them; ids
+are below 2^62 where that happens. Null ids
 take no part: they are their own class, null, and kept. An empty table gives no rows; other
 columns are ignored.
 """
@@ -38,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import text_of
@@ -51,6 +53,10 @@ BANDS, ROWS = 32, 5
 LEAST = 0.8
 #: Values of the longer signature that tells candidates of step 3 apart, four bits each.
 CODE = 1_024
+#: Rounds in which components of a bucket are compared by one member each.
+HUB_ROUNDS = 2
+#: Where names of further texts under one id begin.
+BEYOND = 1 << 62
 #: Covers rounding of similarities.
 SLACK = 1e-9
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +157,7 @@ def _codes(batches):
 def _sketch(bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            docs, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            docs, prints, texts = batch.column("doc_id"), batch.column("print"), batch.column("text").to_pylist()
             for a, b in in_slices(texts, 1_000_000):
                 sets = multisets(texts[a:b])
                 keys = band_keys(signatures(sets, bands * rows), bands, rows)
@@ -162,9 +168,9 @@ def _sketch(bands: int, rows: int):
                 sizes = np.array([int(c.sum()) for _, c in sets], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [docs[a:b], pa.array(one), pa.array(two), pa.array(sizes),
+                    [docs[a:b], prints[a:b], pa.array(one), pa.array(two), pa.array(sizes),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].ravel()))],
-                    names=["doc_id", "one", "two", "size", "keys"],
+                    names=["doc_id", "print", "one", "two", "size", "keys"],
                 )
 
     return run
@@ -194,14 +200,6 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, alike double"))
 
 
-def _to_hub(crowded: DataFrame, compared: DataFrame, hub: str) -> DataFrame:
-    """Add the distance of each bucket member to the bucket's hub."""
-    pair = [F.least("rep", hub).alias("a"), F.greatest("rep", hub).alias("b")]
-    return crowded.select("*", *pair).join(compared, ["a", "b"], "left").select(
-        *crowded.columns, F.coalesce(1 - F.col("alike"), F.lit(0.0)).alias(f"{hub}_far")
-    )
-
-
 def near_classes(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -214,50 +212,67 @@ def near_classes(
     ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text"))
     named = ids.where(F.col("doc_id").isNotNull())
     sketch = cut(
-        named.mapInArrow(
-            _sketch(bands, rows), "doc_id long, one long, two long, size long, keys array<long>"
+        named.withColumn("print", F.xxhash64("text")).mapInArrow(
+            _sketch(bands, rows), "doc_id long, print long, one long, two long, size long, keys array<long>"
         )
     )
     same = ["one", "two"]
-    reps = sketch.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"))
-    members = cut(sketch.select("doc_id", *same).join(reps, same).select("doc_id", "rep", "size"))
+    found = sketch.groupBy(*same).agg(F.min(F.struct("doc_id", "print")).alias("first"), F.max("size").alias("size"))
+    # A set is named after its smallest id; of several sets with one smallest id the others get a
+    # number beyond all ids and are linked to it below.
+    place = F.row_number().over(Window.partitionBy("first.doc_id").orderBy(*same))
+    beyond = F.lit(BEYOND) + F.shiftrightunsigned(F.xxhash64(*same), 3)
+    reps = cut(found.withColumn("place", place).select(
+        *same, "size", "first.doc_id", "first.print", F.when(F.col("place") == 1, F.col("first.doc_id")).otherwise(beyond).alias("rep")
+    ))
+    members = cut(sketch.select("doc_id", *same).join(reps.select(*same, "rep", "size"), same).select("doc_id", "rep", "size"))
     keyed = cut(
-        sketch.join(members.where("doc_id = rep").select("doc_id", "size"), ["doc_id", "size"])
-        .select(F.col("doc_id").alias("rep"), "size", F.explode("keys").alias("key"))
+        sketch.join(reps.select(*same, "doc_id", "rep"), [*same, "doc_id"])
+        .select("rep", "size", F.explode("keys").alias("key"))
         .distinct()
     )
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    crowded = cut(keyed.join(hubs, "key"))
-    stars = cut(
-        crowded.select(F.inline(F.array(
-            F.struct(F.col("low").alias("a"), F.col("rep").alias("b")),
-            F.struct(F.least("rep", "high").alias("a"), F.greatest("rep", "high").alias("b")),
-        ))).where("a <> b").distinct()
-    )
+    crowded = cut(keyed.join(hubs.drop("high"), "key"))
     wanted = crowded.select("rep").distinct()
     texts = cut(
-        named.withColumnRenamed("doc_id", "rep").join(wanted, "rep")
-        .groupBy("rep").agg(F.min("text").alias("text"))
+        named.withColumn("print", F.xxhash64("text")).join(reps.select("doc_id", "print", "rep"), ["doc_id", "print"])
+        .join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
     )
-    compared = _compared(stars, texts)
-    first = compared.where(F.col("alike") >= least).select("a", "b")
-    groups = connected_components(crowded.select(F.col("rep").alias("node")).distinct(), first)
-    placed = cut(
-        _to_hub(_to_hub(crowded, compared, "low"), compared, "high")
-        .join(groups.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep")
-    )
-    # Of each bucket with several components, the one with most members is its main part: every pair
-    # across components has a member outside it, so a dense main part is not paired with itself.
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mains = parts.groupBy("key").agg(
-        F.max(F.struct("n", "part"))["part"].alias("main"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1").drop("parts")
-    loose = cut(placed.join(mains, "key"))
+    # One comparison per text: with the smallest member of all its buckets.
+    near_hub = crowded.groupBy("rep").agg(F.min("low").alias("hub"))
+    seen = _compared(cut(near_hub.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), texts)
+    far = seen.select(F.col("b").alias("rep"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("far"))
+    stated = cut(crowded.select("key", "rep", "size").join(far, "rep", "left"))
+    linked = seen.where(F.col("alike") >= least).select("a", "b")
+    nodes = crowded.select(F.col("rep").alias("node")).distinct()
+    for step in range(HUB_ROUNDS + 1):
+        groups = connected_components(nodes, linked)
+        placed = cut(stated.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep"))
+        # Of each bucket with several components, the one with most members is its main part: every pair
+        # across components has a member outside it, so a dense main part is not paired with itself.
+        parts = cut(placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("delegate")))
+        mains = parts.groupBy("key").agg(
+            F.max(F.struct("n", "part", "delegate")).alias("top"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1").select("key", F.col("top.part").alias("main"), F.col("top.delegate").alias("head"))
+        if step == HUB_ROUNDS:
+            break
+        # A component's first member in a bucket is compared with the first of the bucket's main part.
+        sent = parts.join(mains, "key").where("part <> main").groupBy("delegate").agg(F.min("head").alias("head"))
+        asked = cut(
+            sent.select(F.least("delegate", "head").alias("a"), F.greatest("delegate", "head").alias("b"))
+            .distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        )
+        told = _compared(asked, texts)
+        seen = seen.unionByName(told)
+        linked = seen.where(F.col("alike") >= least).select("a", "b")
+        if told.where(F.col("alike") >= least).isEmpty():
+            break
+    loose = cut(placed.join(mains.select("key", "main"), "key"))
     codes = texts.join(loose.select("rep").distinct(), "rep").mapInArrow(_codes, "rep long, code array<long>")
     words = CODE // 16
     coded = cut(
         loose.join(codes, "rep").select(
-            "key", "rep", "size", "part", "main", "low_far", "high_far", *[F.col("code")[k].alias(f"c{k}") for k in range(words)]
+            "key", "rep", "size", "part", "main", "hub", "far", *[F.col("code")[k].alias(f"c{k}") for k in range(words)]
         )
     )
 
@@ -268,8 +283,9 @@ def near_classes(
     possible = (
         (F.col("size_a") >= least * F.col("size_b"))
         & (F.col("size_b") >= least * F.col("size_a"))
-        & (F.abs(F.col("low_far_a") - F.col("low_far_b")) <= 1 - least + SLACK)
-        & (F.abs(F.col("high_far_a") - F.col("high_far_b")) <= 1 - least + SLACK)
+        & ~F.coalesce(
+            (F.col("hub_a") == F.col("hub_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - least + SLACK), F.lit(False)
+        )
         & (apart <= most_differing_bits(CODE, least))
     )
     different = (F.col("part_a") != F.col("part_b")) & (
@@ -281,11 +297,12 @@ def near_classes(
         left.join(right, (F.col("key") == F.col("key_b")) & different & possible)
         .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(seen.select("a", "b"), ["a", "b"], "left_anti")
     )
     second = _compared(cut(across), texts).where(F.col("alike") >= least).select("a", "b")
+    one_id = reps.where(F.col("rep") != F.col("doc_id")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     classes = connected_components(
-        members.select(F.col("rep").alias("node")).distinct(), first.unionByName(second)
+        members.select(F.col("rep").alias("node")).distinct(), linked.unionByName(second).unionByName(one_id)
     )
     told = (
         members.join(classes.withColumnRenamed("node", "rep"), "rep")

@@ -91,6 +91,49 @@ def test_near_classes(docs, nothing):
     assert bagminhash.drop_near(docs).columns == docs.columns
 
 
+def test_texts_under_one_id_each_keep_their_links(spark):
+    one, two = passage(21), passage(22)
+    rows = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, passage(23)), (5, passage(24)), (5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.near_classes(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_members_of_a_dense_group_are_compared_about_once(spark, monkeypatch):
+    base = passage(31, 200).split()
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.integers(0, 200, 2):
+            words[at] = f"w{k}x{at}"
+        texts.append((k, " ".join(words)))
+    counts = []
+    compared = bagminhash._compared
+    monkeypatch.setattr(bagminhash, "_compared", lambda p, t: counts.append(p.count()) or compared(p, t))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.class_id for r in bagminhash.near_classes(frame).collect()} == {0}
+    assert sum(counts) <= 2 * len(texts)
+
+
+def test_smallest_and_largest_ids_are_kept(spark):
+    rows = [(-(1 << 63), "a b"), ((1 << 63) - 1, "a b"), (0, "ab"), (-(1 << 63), "c"), (5, "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_groups(frame).collect()}
+    low = -(1 << 63)
+    assert got == {(low, low, True), ((1 << 63) - 1, low, False), (0, low, False), (5, low, False)}
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    text = passage(41) + " " + passage(42)
+    rows = [(1, text, 1, "x"), (2, text, 2, None), (3, "short", 3, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `my col` int, `a``b.c` string")
+    for drop in (suffixes.drop_repeats, bagminhash.drop_near, exact_dedup.drop_exact):
+        done = drop(frame)
+        assert done.columns == frame.columns
+        assert {tuple(r)[2:] for r in done.collect()} <= {(1, "x"), (2, None), (3, "y")}
+
+
 def test_outliers_of_a_dense_group_keep_their_links(spark):
     base = passage(5, 200).split()
     rng = np.random.default_rng(4)

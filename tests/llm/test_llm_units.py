@@ -1,6 +1,7 @@
 """Array-level parts of the training-data operators against plain versions."""
 
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -203,3 +204,20 @@ def test_folding_and_exceptions():
     machine = lexicon.automaton()
     assert toxicity._raw(machine, lexicon.exceptions, "A clown fish swims")[1] == 0
     assert toxicity._raw(machine, lexicon.exceptions, "A cl0wn, an 1diotic one; clowning; preidiot")[1] == 2
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 500_000, "<div>x" * 100_000, "<a '>" * 100_000, '<a ">"' * 100_000, "<!--" * 250_000, "<!x" * 300_000,
+    "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</p>x" * 100_000, "<a " + "x" * 1_000_000 + ">",
+    "<script>" + "</script " * 100_000, "<" * 1_000_000,
+])
+def test_broken_pages_end_soon(page):
+    begun = time.monotonic()
+    page_diff.blocks(page)
+    assert time.monotonic() - begun < 10  # some ten times what it takes
+
+
+def test_quotes_hide_the_end_of_a_tag():
+    assert page_diff.blocks("<p title='a>b'>one</p><p>two</p>")[0] == ["one", "two"]
+    assert page_diff.blocks("<p title='a>one</p><p>two</p>")[0] == ["one", "two"]
+    assert page_diff.blocks("a < b <!-- > --> c")[0] == ["a < b c"]
