@@ -34,6 +34,8 @@ from eventlens.session import cut
 TOKENS, SEGMENTS, LOSS = 4_096, 512, 4_096
 #: About how many pieces are packed by a task.
 GROUP = 20_000
+#: Characters encoded at a time.
+SLICE = 500_000
 PIECES = "doc_id long, row long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,7 +47,7 @@ def _pieces(tokenizer: str, end_id: int, tokens: int, loss: int):
         encoder = WordEncoder(tokenizer)
         for batch in batches:
             docs, rows, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, SLICE):
                 ids, sizes = encoder.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 sizes = sizes + 1

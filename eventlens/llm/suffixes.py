@@ -141,6 +141,15 @@ def _found(collapse: bool):
     return run
 
 
+def _released(run):
+    """``run``, after which a reused worker gives back the memory that Arrow holds for later."""
+    def released(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return released
+
+
 def _fetched(batches):
     """The bytes of the wanted segments of each document."""
     for batch in batches:
@@ -341,7 +350,7 @@ def covered(texts: DataFrame) -> DataFrame:
     """``row, covers``: the byte spans to remove from those of ``row, text`` that lose any."""
     narrow = "row long, gram long, content long, low int, size int, places int"
     texts = texts.select("row", "text")
-    dealt = texts.mapInArrow(_found(True), narrow).repartition("gram")
+    dealt = texts.mapInArrow(_released(_found(True)), narrow).repartition("gram")
     contents = dealt.groupBy("gram", "content").agg(
         F.sum("places").alias("places"), F.min(F.struct("row", "low", "size")).alias("at")
     )
@@ -366,7 +375,7 @@ def covered(texts: DataFrame) -> DataFrame:
         )
 
     light = examples(F.col("kinds") <= MOST_CONTENTS).repartition("gram").sortWithinPartitions("gram", "content")
-    repeated = repeated.unionByName(light.mapInArrow(_merged, span))
+    repeated = repeated.unionByName(light.mapInArrow(_released(_merged), span))
     if shared.where(F.col("kinds") > MOST_CONTENTS).limit(1).count():
         windows = cut(
             examples(F.col("kinds") > MOST_CONTENTS).mapInArrow(
@@ -379,7 +388,7 @@ def covered(texts: DataFrame) -> DataFrame:
                 "gram", "content", "from", (F.col("from") + SPAN).alias("to")
             )
         )
-    places = texts.mapInArrow(_found(False), narrow).select("row", "gram", "content", "low")
+    places = texts.mapInArrow(_released(_found(False)), narrow).select("row", "gram", "content", "low")
     return (
         places.join(cut(repeated), ["gram", "content"])
         .select("row", F.struct((F.col("low") + F.col("from")).alias("from"), (F.col("low") + F.col("to")).alias("to")).alias("c"))
