@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from eventlens.functions import text as tx
 from eventlens.functions import vectors
 from eventlens.operators import admission, assignment, events, resolve
 from eventlens.session import cut
+from eventlens.sources import batches
 
 VECTORS = "article_id string, embedding array<float>, embedding_model string"
 MEMBERS = "cluster_id string, article_id string, similarity_score double, is_primary boolean"
@@ -114,8 +115,10 @@ def run_ingest(
     as_of,
     settings: Settings = DEFAULTS,
     embedder: str = config.EMBEDDING_SPACE,
+    errors: DataFrame | None = None,
 ) -> IngestResult:
-    """Apply landed candidates to the tables and return the next snapshot.
+    """Apply landed candidates to the tables and return the next snapshot. ``errors`` of the
+    sources, like rejected candidates, make the round partial.
 
     The result is written to the shared folder step by step; nothing refers to the old
     lineage, so the returned tables can overwrite the stored ones.
@@ -156,9 +159,12 @@ def run_ingest(
     members = cut(events.mark_primary(members, clusters))
     rejected = cut(done.rejected)
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    fallback = F.col("extraction_fallback") if "extraction_fallback" in fetched.columns else F.lit(False)
+    failed = 0 if errors is None else count(errors)
     metrics = fetched.agg(
         F.count(F.lit(1)).alias("fetched"),
         F.count_if(F.col("admission") != "admitted").alias("filtered"),
+        F.count_if(fallback).alias("extraction_fallbacks"),
     ).select(
         "fetched",
         count(outcomes.where("created")).alias("created"),
@@ -166,7 +172,49 @@ def run_ingest(
         "filtered",
         count(good).alias("embedded"),
         count(joined).alias("clustered"),
-        F.when(count(rejected) > 0, "partial").otherwise("succeeded").alias("status"),
+        "extraction_fallbacks",
+        F.when(F.lit(count(rejected) + failed > 0), "partial").otherwise("succeeded").alias("status"),
     )
     after = IngestTables(tables.sources, articles, observations, vecs, members, clusters)
     return IngestResult(after, metrics, rejected)
+
+
+def payload_errors(payloads: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(source_id, position, error)`` of payloads that gave no candidate."""
+    given = candidates.select("payload_id").distinct()
+    empty = payloads.join(given, "payload_id", "left_anti")
+    return empty.select(
+        "source_id", F.col("rank").alias("position"), F.concat(F.lit("no items: "), "payload_id").alias("error")
+    )
+
+
+def run_payloads(
+    tables: IngestTables,
+    payloads: DataFrame,
+    extracted: DataFrame,
+    states: DataFrame,
+    as_of,
+    settings: Settings = DEFAULTS,
+    embedder: str = config.EMBEDDING_SPACE,
+) -> IngestResult:
+    """One whole round from landed payloads: dispatch by source type, fill short bodies from the
+    ``extracted (url, text)`` of their pages, ingest, and move the sources' reading state on.
+
+    ``states`` is ``(source_id, state map<string,string>)`` of the sources that were read. Payloads
+    of inactive sources are left out; a payload without items is an error of its source.
+    """
+    active = tables.sources.where(F.col("is_active")) if "is_active" in tables.sources.columns else tables.sources
+    types = active.select("source_id", F.col("type").alias("_type"))
+    landed = payloads.join(types, "source_id").withColumn("type", F.col("_type")).drop("_type")
+    found = cut(batches.normalize(landed, settings.source_limit, as_of, settings.lookback_days))
+    errors = cut(payload_errors(landed, found))
+    typed = found.join(types.withColumnRenamed("_type", "type"), "source_id")
+    # Payloads of a source follow each other in their order, items in theirs.
+    ranks = landed.select("payload_id", "rank")
+    ordered = typed.join(ranks, "payload_id").withColumn("position", F.col("rank") * (1 << 20) + F.col("position"))
+    candidates = cut(admission.enrich(ordered.drop("rank", "payload_id"), extracted).drop("type"))
+    done = run_ingest(tables, candidates, as_of, settings, embedder, errors)
+    kept = done.tables
+    if {"config", "last_fetched_at", "last_error"} <= set(tables.sources.columns):
+        kept = replace(kept, sources=cut(batches.advance_state(tables.sources, states, errors, as_of)))
+    return replace(done, tables=kept)

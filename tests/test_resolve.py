@@ -119,7 +119,7 @@ def view(rows):
 
 def test_batches_equal_sequential_pass(spark):
     # Nine URLs and twelve keys: nearly all candidates hang together, and most depend on others.
-    batches = [stream(10 + i, 24) for i in range(2)]
+    batches = [stream(10 + i, 16) for i in range(2)]
     bodies = sorted({c["body"] for b in batches for c in b})
     texts = spark.createDataFrame([(b,) for b in bodies], "body string")
     prints = dict.fromkeys(bodies)

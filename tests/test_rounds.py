@@ -49,7 +49,8 @@ def test_ingest_round_and_replay(spark):
     once = ingest.run_ingest(tables, candidates(spark, first_batch()), NOW)
     counts = once.metrics.first().asDict()
     assert counts == dict(
-        fetched=5, created=2, deduplicated=1, filtered=1, embedded=2, clustered=2, status="partial"
+        fetched=5, created=2, deduplicated=1, filtered=1, embedded=2, clustered=2, extraction_fallbacks=0,
+        status="partial",
     )
     assert once.tables.observations.count() == 3
     assert once.tables.members.where("is_primary").count() == once.tables.clusters.count() == 2
