@@ -9,8 +9,8 @@
    global sort of narrow rows, and each takes the neighbour of the same folder, else the one
    before, else the one after; a hot host is a long run of sorted rows, never one task's group.
    Copies of a page on a host collapse before, so a page is never compared with itself.
-3. The neighbour's lines come as hashes, so a page's text moves once and its neighbour's not at all.
-   The lines of a pair are aligned by longest common subsequence and the shared ones deleted:
+3. Comparison works on hashes of lines and yields the numbers of the blocks that stay. A page's text
+   moves once, without what its marks bar, and its neighbour's not at all. The lines of a pair are aligned by longest common subsequence and the shared ones deleted:
    templates, notices and repeated chrome.
 4. Two articles may truly share a sentence, so one neighbour is not enough to delete prose inside an
    article container. It is compared with all distinct pages of the host: lines are counted per host,
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.operators.scans import positioned
-from eventlens.session import cut, small
+from eventlens.session import BROADCAST_ROWS, cut
 
 JUNK, INSIDE, PROSE, LINKS, HEADER = 1, 2, 4, 8, 16
 #: Marked as junk by a name, in an article element, and in a container inside what a name marks.
@@ -309,51 +309,74 @@ def shared(left: list, right: list) -> set[int]:
     return out
 
 
-def main_text(
-    texts: list[str], marks: list[int], other: list | None, lines: list | None = None, usual: list | None = None
-) -> str:
-    """The article of a page, given the lines of its nearest page and those usual on its host;
-    ``lines`` stand for ``texts`` in the comparison, such as hashes on both sides."""
+def _left(marks: list[int]) -> tuple[list[int], bool, bool]:
+    """Places of the blocks that the marks leave, whether a container decides, and whether names
+    would have taken all and so count for nothing."""
     barred = JUNK | HEADER | NAMED | WRAPPED
     contained = any(m & INSIDE and not m & (JUNK | NAMED | WRAPPED) for m in marks)
     if not contained and any(m & INSIDE and not m & (JUNK | NAMED) for m in marks):
         contained, barred = True, JUNK | HEADER | NAMED
-    lines, everywhere = lines or texts, set(usual or ())
-    common = shared(lines, other) if other else set()
 
-    def fits(k: int) -> bool:
-        m = marks[k]
+    def fits(m: int) -> bool:
         if m & barred:
             return False
         return bool(m & INSIDE) if contained else not m & LINKS
 
+    kept = [k for k, m in enumerate(marks) if fits(m)]
+    if kept:
+        return kept, contained, False
+    return [k for k, m in enumerate(marks) if not m & (JUNK | LINKS)], contained, True
+
+
+def chosen(marks: list[int], lines: list, other: list | None, usual: list | None = None) -> list[int]:
+    """Which of the blocks that the marks leave are the article, as numbers among these, given the
+    lines of the nearest page and those usual on the host; lines may be hashes on all sides."""
+    left, contained, nameless = _left(marks)
+    everywhere = set(usual or ())
+    common = shared(lines, other) if other else set()
+    if nameless:
+        return [n for n, k in enumerate(left) if k not in common]
+
     def repeats(k: int) -> bool:
         return lines[k] in everywhere if contained and marks[k] & PROSE else k in common
 
-    kept = [k for k in range(len(texts)) if fits(k)]
-    if not kept:  # names have taken all
-        return "\n".join(t for k, t in enumerate(texts) if not marks[k] & (JUNK | LINKS) and k not in common)
-    fresh = [k for k in kept if not repeats(k)]
-    return "\n".join(texts[k] for k in (fresh or kept))
+    return [n for n, k in enumerate(left) if not repeats(k)] or list(range(len(left)))
+
+
+def main_text(texts: list[str], marks: list[int], other: list | None, usual: list | None = None) -> str:
+    """The article of a page, given the lines of its nearest page and those usual on its host."""
+    left = _left(marks)[0]
+    return "\n".join(texts[left[n]] for n in chosen(marks, texts, other, usual))
 
 
 def _parse(batches):
     for batch in batches:
         parsed = [blocks(h) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("page_id", "url", "host", "path", "content")]
+            [batch.column(c) for c in ("host", "path", "content")]
             + [pa.array([p[0] for p in parsed], pa.list_(pa.string())),
                pa.array([p[1] for p in parsed], pa.list_(pa.int32()))],
-            names=["page_id", "url", "host", "path", "content", "texts", "marks"],
+            names=["host", "path", "content", "texts", "marks"],
         )
 
 
-def _extract(batches):
+def _choose(batches):
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("texts", "marks", "other", "lines", "usual")))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("marks", "lines", "other", "usual")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array([main_text(*r) for r in rows], pa.string())],
-            names=["page_id", "url", "text"],
+            [batch.column("host"), batch.column("content"), pa.array([chosen(*r) for r in rows], pa.list_(pa.int32()))],
+            names=["host", "content", "chosen"],
+        )
+
+
+def _leave(batches):
+    """The texts that the marks leave; what they bar is in no outcome and need not move."""
+    for batch in batches:
+        parsed = (blocks(h) for h in batch.column("html").to_pylist())
+        left = [[texts[k] for k in _left(marks)[0]] for texts, marks in parsed]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in ("page_id", "url", "host", "content")] + [pa.array(left, pa.list_(pa.string()))],
+            names=["page_id", "url", "host", "content", "texts"],
         )
 
 
@@ -396,7 +419,8 @@ def _neighbours(distinct: DataFrame) -> DataFrame:
 
 
 def _usual(distinct: DataFrame) -> DataFrame:
-    """``host, usual``: the lines of prose inside containers that are the host's, of hosts with any."""
+    """``host, usual``: the lines of prose inside containers that are the host's, of hosts with any.
+    Broadcast only where the hosts' lines, not just the hosts, are few."""
     prose = F.filter(
         "lines", lambda _, k: F.get("marks", k).bitwiseAND(JUNK | NAMED | INSIDE | PROSE | HEADER) == (INSIDE | PROSE)
     )
@@ -410,10 +434,12 @@ def _usual(distinct: DataFrame) -> DataFrame:
         .where(F.col("n") >= USUAL_PAGES)
     )
     pages = counts.where("line is null").select("host", F.col("n").alias("pages"))
-    return cut(
+    usual = cut(
         counts.where("line is not null").join(pages, "host").where(2 * F.col("n") >= F.col("pages"))
         .groupBy("host").agg(F.collect_list("line").alias("usual"))
     )
+    held = usual.agg(F.coalesce(F.sum(F.size("usual")), F.lit(0))).first()[0]
+    return F.broadcast(usual) if held <= BROADCAST_ROWS else usual
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -425,14 +451,14 @@ def page_texts(pages: DataFrame) -> DataFrame:
         "url",
         F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", 1)).alias("host"),
         F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "").alias("path"),
-        F.md5(F.coalesce("html", F.lit(""))).alias("content"),
+        F.unhex(F.md5(F.coalesce("html", F.lit("")))).alias("content"),
         "html",
     )
-    schema = (
-        "page_id long, url string, host string, path string, content string, "
-        "texts array<string>, marks array<int>"
+    # Pages are parsed twice: first into hashes and marks, which settle what stays, then into the texts
+    # that may stay, which move once. No parsed text is written.
+    parsed = rows.select("host", "path", "content", "html").mapInArrow(
+        _parse, "host string, path string, content binary, texts array<string>, marks array<int>"
     )
-    parsed = cut(rows.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(_parse, schema))
     lines = F.transform("texts", lambda t: F.xxhash64(t)).alias("lines")
     distinct = cut(
         parsed.select("host", "path", "content", "marks", lines)
@@ -440,11 +466,16 @@ def page_texts(pages: DataFrame) -> DataFrame:
         .agg(F.min("path").alias("path"), F.first("lines").alias("lines"), F.first("marks").alias("marks"))
     )
     others = distinct.select("host", F.col("content").alias("other_content"), F.col("lines").alias("other"))
-    partners = _neighbours(distinct).join(others, ["host", "other_content"], "left").join(
-        small(_usual(distinct)), "host", "left"
-    ).select("host", "content", "other", "usual")
-    paired = parsed.select("page_id", "url", "host", "content", "texts", "marks", lines).join(partners, ["host", "content"])
-    told = paired.select("page_id", "url", "texts", "marks", "other", "lines", "usual").mapInArrow(
-        _extract, "page_id long, url string, text string"
+    settled = (
+        _neighbours(distinct).join(others, ["host", "other_content"], "left")
+        .join(distinct.select("host", "content", "lines", "marks"), ["host", "content"])
+        .join(_usual(distinct), "host", "left")
+        .select("host", "content", "marks", "lines", "other", "usual")
+        .mapInArrow(_choose, "host string, content binary, chosen array<int>")
+    )
+    texts = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "host", "content", "html").mapInArrow(
+        _leave, "page_id long, url string, host string, content binary, texts array<string>"
     )
+    text = F.array_join(F.transform("chosen", lambda n: F.get("texts", n)), "\n").alias("text")
+    told = texts.join(settled, ["host", "content"]).select("page_id", "url", text)
     return told.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
