@@ -10,7 +10,8 @@ whole pipeline.
 
 from __future__ import annotations
 
-from itertools import islice
+from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,14 @@ class Ragged:
         self.sizes = np.zeros(0, np.int64)
 
     def extend(self, rows: list) -> None:
-        sizes = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        total = int(sizes.sum())
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, total)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self._add(sizes, np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())))
+
+    def extend_packed(self, rows: list[bytes]) -> None:
+        """Rows that are the bytes of 32-bit ids."""
+        self._add(np.fromiter(map(len, rows), np.int64, len(rows)) // 4, np.frombuffer(b"".join(rows), np.uint32))
+
+    def _add(self, sizes: np.ndarray, flat: np.ndarray) -> None:
         starts = len(self.flat) + np.cumsum(sizes) - sizes
         self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([self.starts, starts])
@@ -68,35 +74,37 @@ class WordEncoder:
 
     def _restart(self) -> None:
         self.pieces: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.store = Ragged()
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         words, model, letters = self.words, self.tokenizer.model, self.letters
-        rows: list = [None] * len(new)
-        hard = []
-        for k, piece in enumerate(new):
+        merge, rows, hard = model.tokenize, [], []
+        for piece in new:
             word = piece.rstrip(".,")
-            if not (word.isalpha() and (word.isascii() or max(word) <= "\xff")):
-                hard.append(k)
+            simple = word.isascii()
+            if not (word.isalpha() and (simple or max(word) <= "\xff")):
+                hard.append(len(rows))
+                rows.append(None)
                 continue
-            tail, word = piece[len(word):], word.lower()
-            ids = words.get(word)
+            low = word.lower()
+            ids = words.get(low)
             if ids is None:
-                plain = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                ids = words[word] = [t.id for t in model.tokenize(plain)]
-            if tail:
+                plain = low if simple else low.encode().decode("latin-1").translate(letters)
+                ids = words[low] = array("I", [t.id for t in merge(plain)]).tobytes()
+            if len(piece) > len(word):
+                tail = piece[len(word):]
                 ends = words.get(tail)
                 if ends is None:
                     ends = words[tail] = self._whole([tail])[0]
                 ids = ids + ends
-            rows[k] = ids
+            rows.append(ids)
         for k, ids in zip(hard, self._whole([new[k] for k in hard])):
             rows[k] = ids
-        self.store.extend(rows)
+        self.store.extend_packed(rows)
 
     def _lowered(self, column: pa.Array) -> pa.Array:
         """ASCII capitals lowered ahead of the library, so that fewer pieces differ. Left alone
@@ -119,9 +127,13 @@ class WordEncoder:
         pieces = self.pieces
         known = len(pieces)
         names = coded.dictionary.to_pylist()
-        rows = np.fromiter((pieces.setdefault(p, len(pieces)) for p in names), np.int64, len(names))
-        if len(pieces) > known:
-            self._learn(list(islice(pieces, known, None)))
+        rows = np.fromiter(map(pieces.get, names, repeat(-1)), np.int64, len(names))
+        places = np.flatnonzero(rows < 0)
+        if len(places):
+            new = [names[k] for k in places.tolist()]
+            pieces.update(zip(new, range(known, known + len(new))))
+            rows[places] = np.arange(known, known + len(new))
+            self._learn(new)
         ids, sizes = self.store.gather(rows[coded.indices.to_numpy(zero_copy_only=False)])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])

@@ -43,6 +43,10 @@ LIMITS = (np.uint64(1) << WIDTHS.astype(np.uint64)) - np.uint64(1)
 MAGIC = b"S8B1"
 #: About how many words a block holds.
 BLOCK_WORDS = 1 << 17
+#: Characters encoded at a time.
+SLICE = 750_000
+#: Ids that each selector covers.
+STEPS = np.concatenate([COUNTS, [1, 1]]).astype(np.uint8)
 SMALL = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), "left").astype(np.int8)
 BLOCKS = "shard long, block long, before long, ids long, data binary"
 
@@ -62,20 +66,22 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     place = np.ones(len(values), bool)
     place[stops] = False
     values[place], wanted[place] = ids, need
-    step = np.ones(len(values), np.int64)
-    choice = np.where(wanted == len(COUNTS), ESCAPE, len(COUNTS) - 1).astype(np.int64)
-    for k in range(len(COUNTS) - 1, -1, -1):
+    choice = np.where(wanted == len(COUNTS), ESCAPE, len(COUNTS) - 1).astype(np.int8)
+    # The widest id of each window of COUNTS[k] ids, from two windows that together cover it.
+    widest = {1: wanted}
+    for k in range(len(COUNTS) - 2, -1, -1):
         count = int(COUNTS[k])
         if count > len(values):
-            continue
-        wide = np.concatenate([[0], np.cumsum(wanted > k, dtype=np.int64)])
-        fits = np.flatnonzero(wide[count:] == wide[:-count])
-        step[fits], choice[fits] = count, k
-    onward = (np.arange(len(values)) + step).tolist()
-    heads, at, total = [], 0, len(onward)
+            break
+        part = max(c for c in widest if c < count)
+        inner = widest[part]
+        widest[count] = np.maximum(inner[:len(values) - count + 1], inner[count - part:])
+        np.copyto(choice[:len(values) - count + 1], k, where=widest[count] <= k)
+    step = STEPS[choice].tobytes()
+    heads, at, total = [], 0, len(step)
     while at < total:
         heads.append(at)
-        at = onward[at]
+        at += step[at]
     heads = np.array(heads, np.int64)
     real = place[heads]
     # Words before each stop, less the stops among them.
@@ -83,7 +89,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     word_ends = first_stop - np.arange(len(first_stop))
     firsts = np.concatenate([[0], word_ends[:-1]]) if len(sizes) else np.zeros(0, np.int64)
     heads = heads[real]
-    chosen = choice[heads]
+    chosen = choice[heads].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for k in range(len(COUNTS)):
         mine = np.flatnonzero(chosen == k)
@@ -153,7 +159,7 @@ def _packed(tokenizer: str, end_id: int):
         number, before = 0, 0
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, SLICE):
                 ids, sizes = encoder.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
                 sizes = sizes + 1
