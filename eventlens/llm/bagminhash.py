@@ -14,9 +14,10 @@ m log m points a text, however long it is.
 Classes:
 1. Texts of equal multisets collapse to one row by a 128-bit digest, combined before the shuffle.
 2. Band keys bring candidates together. A bucket is never paired within itself: each text is first
-   compared exactly with one hub, the smallest member of all its buckets.
-3. Links make components. Where a bucket still holds several, the first member of each is compared
-   with the first of the largest one, for a round or two. What still hangs apart is paired across
+   compared exactly with one hub: of the members of its buckets the one that meets most others, which
+   in a group of copies of one text is that text or the one changed least.
+3. Links make components. Where a bucket still holds several, the most central member of each is
+   compared with that of the largest one, for a round or two. What still hangs apart is paired across
    components and compared as well. The join takes a pair only if the sizes allow the similarity,
    the distances of both to a hub they share do (1 - similarity is a metric), and longer
    signatures, four bits a value and made for these members only, agree to within 4.5 deviations
@@ -231,18 +232,23 @@ def near_classes(
         .select("rep", "size", F.explode("keys").alias("key"))
         .distinct()
     )
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    crowded = cut(keyed.join(hubs.drop("high"), "key"))
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(keyed.join(crowds, "key"))
+    # The members that a text meets over all its buckets: most for the text in the middle of a group.
+    central = cut(met.groupBy("rep").agg(F.struct(F.sum("n").alias("met"), F.bitwise_not("rep").alias("not_rep")).alias("rank")))
+    crowded = cut(met.select("rep", "size", "key").join(central, "rep"))
     wanted = crowded.select("rep").distinct()
     texts = cut(
         named.withColumn("print", F.xxhash64("text")).join(reps.select("doc_id", "print", "rep"), ["doc_id", "print"])
         .join(wanted, "rep").groupBy("rep").agg(F.min("text").alias("text"))
     )
-    # One comparison per text: with the smallest member of all its buckets.
-    near_hub = crowded.groupBy("rep").agg(F.min("low").alias("hub"))
-    seen = _compared(cut(near_hub.where("hub < rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), texts)
-    far = seen.select(F.col("b").alias("rep"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("far"))
-    stated = cut(crowded.select("key", "rep", "size").join(far, "rep", "left"))
+    # One comparison per text: with the most central member of all its buckets.
+    hubs = crowded.groupBy("key").agg(F.max("rank").alias("top"))
+    near_hub = crowded.join(hubs, "key").groupBy("rep").agg(F.bitwise_not(F.max("top").getField("not_rep")).alias("hub"))
+    told = _compared(cut(near_hub.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))), texts)
+    far = told.select(F.col("b").alias("rep"), F.col("a").alias("hub"), (1 - F.col("alike")).alias("far"))
+    stated = cut(crowded.join(far, "rep", "left"))
+    seen = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "alike")
     linked = seen.where(F.col("alike") >= least).select("a", "b")
     nodes = crowded.select(F.col("rep").alias("node")).distinct()
     for step in range(HUB_ROUNDS + 1):
@@ -250,14 +256,17 @@ def near_classes(
         placed = cut(stated.join(groups.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep"))
         # Of each bucket with several components, the one with most members is its main part: every pair
         # across components has a member outside it, so a dense main part is not paired with itself.
-        parts = cut(placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("delegate")))
+        parts = cut(placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("delegate")))
         mains = parts.groupBy("key").agg(
             F.max(F.struct("n", "part", "delegate")).alias("top"), F.count(F.lit(1)).alias("parts")
         ).where("parts > 1").select("key", F.col("top.part").alias("main"), F.col("top.delegate").alias("head"))
         if step == HUB_ROUNDS:
             break
-        # A component's first member in a bucket is compared with the first of the bucket's main part.
-        sent = parts.join(mains, "key").where("part <> main").groupBy("delegate").agg(F.min("head").alias("head"))
+        # A component's most central member in a bucket is compared with that of the bucket's main part.
+        sent = (
+            parts.join(mains, "key").where("part <> main").groupBy("delegate").agg(F.max("head").alias("head"))
+            .select(*[F.bitwise_not(F.col(side).getField("not_rep")).alias(side) for side in ("delegate", "head")])
+        )
         asked = cut(
             sent.select(F.least("delegate", "head").alias("a"), F.greatest("delegate", "head").alias("b"))
             .distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
@@ -269,10 +278,13 @@ def near_classes(
             break
     loose = cut(placed.join(mains.select("key", "main"), "key"))
     codes = texts.join(loose.select("rep").distinct(), "rep").mapInArrow(_codes, "rep long, code array<long>")
+    # At most one key a band: a pair is taken in the smallest bucket it shares, not in each.
+    shared = crowded.groupBy("rep").agg(F.collect_list("key").alias("keys"))
     words = CODE // 16
     coded = cut(
-        loose.join(codes, "rep").select(
-            "key", "rep", "size", "part", "main", "hub", "far", *[F.col("code")[k].alias(f"c{k}") for k in range(words)]
+        loose.join(codes.join(shared, "rep"), "rep").select(
+            "key", "rep", "size", "part", "main", "hub", "far", "keys",
+            *[F.col("code")[k].alias(f"c{k}") for k in range(words)],
         )
     )
 
@@ -287,6 +299,7 @@ def near_classes(
             (F.col("hub_a") == F.col("hub_b")) & (F.abs(F.col("far_a") - F.col("far_b")) > 1 - least + SLACK), F.lit(False)
         )
         & (apart <= most_differing_bits(CODE, least))
+        & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))
     )
     different = (F.col("part_a") != F.col("part_b")) & (
         (F.col("part_b") == F.col("main_b")) | (F.col("rep_a") < F.col("rep_b"))
@@ -296,7 +309,6 @@ def near_classes(
     across = (
         left.join(right, (F.col("key") == F.col("key_b")) & different & possible)
         .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-        .distinct()
         .join(seen.select("a", "b"), ["a", "b"], "left_anti")
     )
     second = _compared(cut(across), texts).where(F.col("alike") >= least).select("a", "b")

@@ -99,6 +99,23 @@ def test_texts_under_one_id_each_keep_their_links(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_copies_gather_round_the_text_they_come_from(spark, monkeypatch):
+    """Copies at 0.85 of one text and 0.7 of each other, whose source has the largest id."""
+    words = [f"word{k}" for k in range(200)]
+    texts = []
+    for n in range(80):
+        own = list(words)
+        for k in range(3):
+            own[(n * 7 + k * 61) % 200] = f"own{n}x{k}"
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate([*texts, " ".join(words)])), "doc_id long, text string")
+    counts = []
+    compared = bagminhash._compared
+    monkeypatch.setattr(bagminhash, "_compared", lambda p, t: counts.append(p.count()) or compared(p, t))
+    assert {r.class_id for r in bagminhash.near_classes(frame).collect()} == {0}
+    assert sum(counts) <= 2 * len(texts), counts
+
+
 def test_members_of_a_dense_group_are_compared_about_once(spark, monkeypatch):
     base = passage(31, 200).split()
     rng = np.random.default_rng(7)
