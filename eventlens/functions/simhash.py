@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,8 @@ from pyspark.sql import types as T
 from eventlens.config import DEFAULTS
 from eventlens.functions import text as tx
 
-LANES = 0x0000000100000001
+#: Hashes whose bits are spread out at a time.
+VOTE_ROWS = 1 << 16
 
 
 def hamming(left, right) -> Column:
@@ -42,14 +42,32 @@ def feature_hash(feature: Column, name: str) -> Column:
     raise ValueError(f"unknown hash: {name}")
 
 
-def _trigrams(words: Column) -> Column:
-    def spans(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)),
-        )
+def _trigram_hashes(words: str, hash_name: str) -> Column:
+    w = F.col(words)
+    return F.transform(
+        F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
+        lambda word, i: feature_hash(F.concat_ws(" ", word, F.get(w, i + 1), F.get(w, i + 2)), hash_name),
+    )
+
+
+def with_fingerprint(
+    df: DataFrame,
+    text,
+    min_words: int = DEFAULTS.simhash_min_words,
+    hash_name: str = DEFAULTS.simhash_hash,
+) -> DataFrame:
+    """``df`` with ``fingerprint``, null for texts of fewer than ``min_words`` words.
 
-    return tx.let(words, spans)
+    Trigrams are hashed by an expression; the votes of a row are counted in Arrow batches where the
+    row is. Nothing is exploded or shuffled. ``hash_name='blake2b'`` hashes in the batches as well.
+    """
+    rows = df.withColumn("_words", tx.words(text))
+    enough = F.size("_words") >= min_words
+    if hash_name == "blake2b":
+        print_ = blake2b_simhash(F.when(enough, F.col("_words")))
+    else:
+        print_ = majority(F.when(enough, _trigram_hashes("_words", hash_name)))
+    return rows.withColumn("fingerprint", print_).drop("_words")
 
 
 def fingerprints(
@@ -59,32 +77,30 @@ def fingerprints(
     min_words: int = DEFAULTS.simhash_min_words,
     hash_name: str = DEFAULTS.simhash_hash,
 ) -> DataFrame:
-    """``(key, fingerprint)`` for texts of at least ``min_words`` words.
+    """``(key, fingerprint)`` for rows whose text has at least ``min_words`` words."""
+    rows = with_fingerprint(df.select(key, text), text, min_words, hash_name).select(key, "fingerprint")
+    return rows.where(F.col("fingerprint").isNotNull())
 
-    Votes are summed by a hash aggregation that combines inside the scan task, so only one
-    narrow row per text is shuffled. A sum carries two 32-bit counters, one per half word.
-    ``hash_name='blake2b'`` computes the same votes in Arrow batches.
-    """
-    gated = df.select(key, tx.words(text).alias("_words")).where(F.size("_words") >= min_words)
-    if hash_name == "blake2b":
-        return gated.select(key, blake2b_simhash("_words").alias("fingerprint"))
-    rows = gated.select(key, F.explode(_trigrams(F.col("_words"))).alias("_gram")).select(
-        key, feature_hash(F.col("_gram"), hash_name).alias("_hash")
-    )
-    lanes = [
-        F.sum(F.shiftright("_hash", r).bitwiseAND(F.lit(LANES))).alias(f"_lane{r}")
-        for r in range(32)
-    ]
-    votes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *lanes)
-    bits = []
-    for r in range(32):
-        low = F.col(f"_lane{r}").bitwiseAND(F.lit(0xFFFFFFFF))
-        high = F.shiftright(f"_lane{r}", 32)
-        for place, count in ((r, low), (r + 32, high)):
-            mask = 1 << place
-            value = mask - (1 << 64) if mask >= 1 << 63 else mask
-            bits.append(F.when(count * 2 > F.col("_n"), F.lit(value)).otherwise(F.lit(0).cast("bigint")))
-    return votes.select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
+
+def _votes(raw: np.ndarray) -> np.ndarray:
+    """How many of the words, given as rows of eight bytes, have each of the 64 bits."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(raw), VOTE_ROWS):  # 64 bytes a word, whatever the length of the text
+        total += np.unpackbits(raw[at : at + VOTE_ROWS], axis=1).sum(axis=0, dtype=np.int64)
+    return total
+
+
+def _winner(raw: np.ndarray) -> int:
+    """Bits that more than half of the big-endian words have."""
+    won = (2 * _votes(raw) > len(raw)).astype(np.uint8)
+    return int.from_bytes(np.packbits(won).tobytes(), "big", signed=True)
+
+
+@F.pandas_udf(T.LongType())
+def majority(hashes: pd.Series) -> pd.Series:
+    """Per row the bits that more than half of its 64-bit hashes have; null stays null."""
+    out = [None if h is None else _winner(h.astype(">i8").view(np.uint8).reshape(-1, 8)) for h in hashes]
+    return pd.Series(out, dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())
@@ -92,9 +108,14 @@ def blake2b_simhash(words: pd.Series) -> pd.Series:
     """Fingerprints with BLAKE2b trigram hashes, for compatibility with stored values."""
     out = []
     for tokens in words:
+        if tokens is None:
+            out.append(None)
+            continue
         grams = (" ".join(tokens[i : i + 3]) for i in range(len(tokens) - 2))
         raw = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        set_bits = (2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).astype(np.uint8)
-        out.append(int.from_bytes(np.packbits(set_bits).tobytes(), "big", signed=True))
-    return pd.Series(out, dtype="int64")
+        out.append(_winner(np.frombuffer(raw, np.uint8).reshape(-1, 8)))
+    return pd.Series(out, dtype="Int64")
+
+
+# Both are repeatable; marked otherwise, a filter on their result does not run them a second time.
+majority, blake2b_simhash = majority.asNondeterministic(), blake2b_simhash.asNondeterministic()

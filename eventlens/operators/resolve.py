@@ -70,10 +70,7 @@ def _prepared(candidates: DataFrame, order: list[Column], settings: Settings) ->
         }
     )
     placed = scans.positioned(rows, order, "pos")
-    prints = simhash.fingerprints(
-        placed, "pos", "body", settings.simhash_min_words, settings.simhash_hash
-    )
-    return cut(placed.join(prints, "pos", "left"))
+    return cut(simhash.with_fingerprint(placed, "body", settings.simhash_min_words, settings.simhash_hash))
 
 
 def _near(good: DataFrame, seeds: DataFrame, settings: Settings) -> DataFrame:
