@@ -153,11 +153,10 @@ def simhash_stored_format(spark, d):
 
 
 def _printed(spark, d, hash_name="md5"):
-    article = tb.articles(spark, d)
-    prints = simhash.fingerprints(article, "article_id", "body", hash_name=hash_name)
-    return article.select(
-        "article_id", "published_at", "fetched_at", tx.word_count("body").alias("words")
-    ).join(prints, "article_id")
+    printed = simhash.with_fingerprint(tb.articles(spark, d), "body", hash_name=hash_name)
+    return printed.select(
+        "article_id", "published_at", "fetched_at", tx.word_count("body").alias("words"), "fingerprint"
+    ).where(F.col("fingerprint").isNotNull())
 
 
 @query(
@@ -356,7 +355,8 @@ def admitted_candidates(spark, d):
       count(*) FILTER (admission = 'admitted' AND cluster_id <> article_id) AS deduplicated,
       count(*) FILTER (admission <> 'admitted') AS filtered,
       count(*) FILTER (words > 5) AS embedded, count(*) FILTER (words > 9) AS clustered,
-      count(*) FILTER (words < 300) AS extraction_fallbacks, 'succeeded' AS status
+      count(*) FILTER (words < 300) AS extraction_fallbacks,
+      CASE WHEN (SELECT count(*) FROM articles WHERE article_id % 9 = 0) > 0 THEN 'partial' ELSE 'succeeded' END AS status
     FROM admitted JOIN members USING (article_id)""",
 )
 def run_metrics(spark, d):
@@ -368,7 +368,10 @@ def run_metrics(spark, d):
         (words > 9).alias("clustered"),
         (words < 300).alias("extraction_fallback"),
     )
-    return admission.run_metrics(rows)
+    errors = tb.read(spark, d, "documents").where(F.col("doc_id") % 9 == 0).select(
+        F.col("source").alias("source_id"), F.concat(F.lit("e"), "doc_id").alias("error")
+    )
+    return admission.run_metrics(rows, errors)
 
 
 @query(

@@ -300,14 +300,16 @@ def analysis_queue(spark, d):
 
 @query(
     "analysis_counts",
-    f"""WITH {_CALLS} SELECT count(*) FILTER (status = 'succeeded') AS ready, count(*) FILTER (status = 'started') AS cached,
+    f"""WITH {_CALLS} SELECT count(*) FILTER (status = 'succeeded' AND words >= 8) AS ready, count(*) FILTER (status = 'started') AS cached,
     count(*) FILTER (stage = 'summary') AS summary_cache_hits, count(*) FILTER (stage = 'analysis') AS analysis_cache_hits,
-    count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS insufficient_evidence FROM calls""",
+    count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'succeeded' AND words < 8) AS insufficient_evidence FROM calls""",
 )
 def analysis_counts(spark, d):
     names = F.create_map(*map(F.lit, ("succeeded", "ready", "started", "cached", "failed", "failed")))
     rows = tb.calls(spark, d).select(
-        names[F.col("status")].alias("outcome"),
+        F.when((F.col("status") == "succeeded") & (F.col("output_tokens") < 8), "insufficient_evidence")
+        .otherwise(names[F.col("status")])
+        .alias("outcome"),
         (F.col("stage") == "summary").alias("summary_cache_hit"),
         (F.col("stage") == "analysis").alias("analysis_cache_hit"),
     )
