@@ -78,7 +78,7 @@ def fingerprints(
     hash_name: str = DEFAULTS.simhash_hash,
 ) -> DataFrame:
     """``(key, fingerprint)`` for rows whose text has at least ``min_words`` words."""
-    rows = with_fingerprint(df.select(key, text), text, min_words, hash_name).select(key, "fingerprint")
+    rows = with_fingerprint(df.select(*{key: 0, text: 0}), text, min_words, hash_name).select(key, "fingerprint")
     return rows.where(F.col("fingerprint").isNotNull())
 
 
