@@ -78,6 +78,18 @@ def test_html_to_text(spark):
     assert evaluate(spark, tx.html_to_text, "  plain \n text ") == "plain text"
 
 
+@pytest.mark.parametrize(
+    "markup,expected",
+    [
+        ("<title>a &amp;&amp; b&amp</title><p>c", "a && b&amp c"),
+        ("&ampx &copy2; &eacute; &#233; &#xe9; &nosuch; &lt", "&ampx &copy2; é é é &nosuch; &lt"),
+        ("&amp;eacute; &eacute;&amp", "&eacute; é&amp"),
+    ],
+)
+def test_only_terminated_references_are_decoded(spark, markup, expected):
+    assert evaluate(spark, tx.html_to_text, markup) == expected
+
+
 def python_simhash(text):
     tokens = text.lower().split()
     votes = [0] * 64
