@@ -122,6 +122,54 @@ def test_pivot_cells_lose_nothing(spark):
     assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in pruned.collect()}
 
 
+@pytest.mark.parametrize("earlier_only", [True, False])
+def test_blocks_of_a_bucket_meet_all_rows_with_few_copies(spark, monkeypatch, earlier_only):
+    """Tiles, several blocks a bucket and right rows in several batches give what all pairs give."""
+    for name, value in (("HELD_ROWS", 40), ("BLOCK_ROWS", 20), ("TILE", (16, 24))):
+        monkeypatch.setattr(similarity, name, value)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 6))
+    data = np.round(base[rng.integers(12, size=300)] + rng.integers(0, 2, size=(300, 1)) * 0.4, 3)
+    rows = [(i, int(rng.integers(120)) * 3_600_000_000, int(r), v.tolist()) for i, (r, v) in enumerate(zip(rng.permutation(300), data))]
+    frame = spark.createDataFrame(rows, "id long, at long, rank long, vector array<float>").repartition(3)
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    pairs = {
+        (x[0], y[0]) for x in rows for y in rows
+        if score[x[0], y[0]] >= 0.9 and abs(x[1] - y[1]) <= 24 * 3_600_000_000
+        and (y[2] < x[2] if earlier_only else x[0] != y[0])
+    }
+    got = similarity.similar(frame, frame, 0.9, 24, earlier_only)
+    assert sorted((r.left_id, r.right_id) for r in got.collect()) == sorted(pairs)
+    best = similarity.similar(frame, frame, 0.9, 24, earlier_only, best_only=True).collect()
+    wanted = {}
+    for a, b in pairs:
+        wanted[a] = max(wanted.get(a, (-2, -1, -1)), (min(score[a, b], 1.0), rows[b][2], b))
+    assert {r.left_id: r.right_id for r in best} == {a: w[2] for a, w in wanted.items()}
+    links = {(r.a, r.b) for r in similarity.similar(frame, frame, 0.9, 24, earlier_only, links_only=True).collect()}
+
+    def groups(edges):
+        label = list(range(300))
+        for _ in range(300):
+            before = list(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if before == label:
+                return label
+
+    assert groups(links) == groups(pairs)
+
+
+def test_a_right_row_is_copied_per_block_not_per_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 10, raising=False)
+    rows = [(i, 0, i, [1.0, float(i)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, at long, rank long, vector array<float>")
+    side = frame.withColumns({"bucket": F.lit(0).cast("bigint"), "cell": F.lit(0)})
+    met = similarity._meet(side, side, True)
+    assert met.count() <= 400 * (1 + similarity.LEAST_BLOCKS)
+
+
 GOOD = '{"sentences":["a","b","c"]}'
 
 
