@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventlens.config import DEFAULTS
 from eventlens.functions.simhash import hamming
 from eventlens.operators import scans
-from eventlens.session import cut
+from eventlens.session import cut, dealt
 
 BUCKET_TARGET = 8
 WIDEST = 3
@@ -66,7 +66,7 @@ def fingerprint_pairs(
         *[F.when(difference.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(choices)]
     )
     return (
-        a.join(b, ["band", "part"])
+        a.join(dealt(b), ["band", "part"])
         .where((hamming("left_fp", "right_fp") <= max_bits) & (F.col("band") == first))
         .select("left_fp", "right_fp")
     )

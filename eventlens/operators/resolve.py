@@ -21,7 +21,7 @@ from eventlens.functions import text as tx
 from eventlens.operators import near_dup, scans, wavefront
 from eventlens.operators.identity import upsert_observations
 from eventlens.operators.wavefront import FIELDS, FULL_KINDS, KEY  # noqa: F401
-from eventlens.session import cut
+from eventlens.session import cut, dealt
 
 ARTICLES = (
     "article_id string, source_id string, url string, canonical_url string, url_hash string, "
@@ -141,7 +141,7 @@ def resolve_articles(
         F.coalesce(_micros("published_at"), now).alias("event"),
         (F.coalesce("author", F.lit("")) != "").alias("has_author"),
     )
-    seen = observations.join(seeds.select("article_id", "node"), "article_id")
+    seen = observations.join(dealt(seeds.select("article_id", "node")), "article_id")
     keys = seen.select(*KEY, F.col("node").alias("k_node"), F.col("url_hash").alias("k_url"))
     aliases = seen.groupBy("url_hash", "node").agg(F.count(F.lit(1)).alias("n"))
     state, decided = wavefront.settle(narrow, seeds, keys, aliases, _near(good, seeds, settings), settings)
@@ -165,11 +165,11 @@ def _finish(prepared, good, decided, state, articles, observations, as_of) -> Re
           ("url", "canonical_url", "metadata", "title", "body", "author", "fetched_at", "sequence", "needs_embedding")],
     )
     joined = (
-        touched.join(old, "article_id", "left")
-        .join(owner, "owner_pos", "left")
-        .join(title, "title_pos", "left")
-        .join(body, "body_pos", "left")
-        .join(author, "author_pos", "left")
+        touched.join(dealt(old), "article_id", "left")
+        .join(dealt(owner), "owner_pos", "left")
+        .join(dealt(title), "title_pos", "left")
+        .join(dealt(body), "body_pos", "left")
+        .join(dealt(author), "author_pos", "left")
     )
 
     def pick(pointer: str, new: str, kept: str) -> Column:
@@ -192,13 +192,13 @@ def _finish(prepared, good, decided, state, articles, observations, as_of) -> Re
         pick("owner_pos", "o_metadata", "metadata"),
         (F.col("changed") | F.coalesce("_needs_embedding", F.lit(False))).alias("needs_embedding"),
     )
-    kept = articles.join(touched.select("article_id"), "article_id", "left_anti")
+    kept = articles.join(dealt(touched.select("article_id")), "article_id", "left_anti")
     applied = decided.where(F.col("article_id").isNotNull())
-    outcomes = good.select("pos", "source_id", "external_id").join(applied, "pos")
-    clashes = good.join(decided.where(F.col("article_id").isNull()), "pos", "left_semi")
+    outcomes = good.select("pos", "source_id", "external_id").join(dealt(applied), "pos")
+    clashes = good.join(dealt(decided.where(F.col("article_id").isNull())), "pos", "left_semi")
     unusable = prepared.where(F.col("canonical_url").isNull())
     reject = lambda df, why: df.select("pos", "source_id", "url", F.lit(why).alias("error"))
-    incoming = good.join(applied, "pos").select(
+    incoming = good.join(dealt(applied), "pos").select(
         "source_id", "external_id", "article_id", "url", "url_hash", "metadata",
         now.alias("seen_at"), F.col("pos").alias("seq"),
     )

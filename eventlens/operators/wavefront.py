@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.config import Settings
-from eventlens.session import cut
+from eventlens.session import cut, dealt
 
 DAY = 86_400_000_000
 # Kinds of body that replace any other kind of the same publisher.
@@ -61,7 +61,7 @@ def _shared(candidates: DataFrame) -> DataFrame:
     out = candidates
     for names, mark in ((KEY, "many_keys"), (["url_hash"], "many_urls")):
         several = candidates.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-        out = out.join(several.withColumn(mark, F.lit(True)), names, "left")
+        out = out.join(dealt(several.withColumn(mark, F.lit(True))), names, "left")
     return out.withColumns({m: F.coalesce(m, F.lit(False)) for m in ("many_keys", "many_urls")})
 
 
@@ -77,10 +77,10 @@ def _copies(open_: DataFrame, articles: DataFrame, near: DataFrame, settings: Se
     asked = open_.select(
         "pos", "words", "event", "fingerprint",
         F.explode(F.sequence(F.floor(F.col("event") / reach) - 1, F.floor(F.col("event") / reach) + 1)).alias("stretch"),
-    ).join(near, "fingerprint")
+    ).join(dealt(near), "fingerprint")
     ratio = F.col("words") / F.greatest("a_words", F.lit(1))
     return (
-        asked.join(held, ["other", "stretch"])
+        asked.join(dealt(held), ["other", "stretch"])
         .where(ratio.between(settings.near_dup_low, settings.near_dup_high))
         .where(F.abs(F.col("moment") - F.col("event")) <= reach)
         .groupBy("pos").agg(F.min("node").alias("c_node"))
@@ -91,16 +91,16 @@ def _looked_up(pending, articles, keys, aliases, near, settings: Settings) -> Da
     """Each pending candidate with the article it meets and what it would do to it."""
     owners = articles.select("url_hash", F.col("node").alias("u_node"))
     first = aliases.groupBy("url_hash").agg(F.min("node").alias("al_node"))
-    first = first.join(
-        articles.select(F.col("node").alias("al_node"), F.col("url_hash").alias("al_url"), F.col("fingerprint").alias("al_print")),
+    first = first.join(dealt(
+        articles.select(F.col("node").alias("al_node"), F.col("url_hash").alias("al_url"), F.col("fingerprint").alias("al_print"))),
         "al_node",
     )
-    met = pending.join(keys, KEY, "left").join(owners, "url_hash", "left").join(first, "url_hash", "left")
+    met = pending.join(dealt(keys), KEY, "left").join(dealt(owners), "url_hash", "left").join(dealt(first), "url_hash", "left")
     open_ = met.where("k_node IS NULL AND u_node IS NULL AND al_node IS NULL AND fingerprint IS NOT NULL")
-    found = met.join(_copies(open_, articles, near, settings), "pos", "left").withColumn(
+    found = met.join(dealt(_copies(open_, articles, near, settings)), "pos", "left").withColumn(
         "met", F.coalesce("k_node", "u_node", "al_node", "c_node")
     )
-    rows = found.join(articles.select(*[F.col(c).alias(f"m_{c}") for c in FIELDS]), F.col("met") == F.col("m_node"), "left")
+    rows = found.join(dealt(articles.select(*[F.col(c).alias(f"m_{c}") for c in FIELDS])), F.col("met") == F.col("m_node"), "left")
     col = F.col
     same = lambda a, b: col(a).eqNullSafe(col(b))
     rows = rows.withColumns({
@@ -164,13 +164,13 @@ def _barriers(sources: DataFrame, near: DataFrame, reach: int) -> DataFrame:
     changed = (
         sources.select("pos", F.explode(prints).alias("other"))
         .groupBy("other").agg(F.min("pos").alias("pos"))
-        .join(near, "other").select("pos", _named("changed print", "fingerprint").alias("resource"))
+        .join(dealt(near), "other").select("pos", _named("changed print", "fingerprint").alias("resource"))
     )
     stretch = F.floor(F.col("event") / reach)
     made = (
         sources.where(F.col("fingerprint").isNotNull())
         .groupBy(F.col("fingerprint").alias("other"), stretch.alias("at")).agg(F.min("pos").alias("pos"))
-        .join(near, "other")
+        .join(dealt(near), "other")
         .select("pos", "fingerprint", F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)).alias("stretch"))
         .select("pos", _named("new print", "fingerprint", F.col("stretch")).alias("resource"))
     )
@@ -184,7 +184,7 @@ def _behind(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
     sources, n = rows.where("loud"), 0
     while True:
         behind = cut(
-            met.join(_barriers(sources, near, reach), "resource")
+            met.join(dealt(_barriers(sources, near, reach)), "resource")
             .groupBy("pos").agg(F.min("loud").alias("loud"), F.min("barrier").alias("barrier"))
             .where("barrier < pos").select("pos", "loud")
         )
@@ -193,7 +193,7 @@ def _behind(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
         if turned == n:
             return behind
         n = turned
-        sources = rows.where("loud").unionByName(rows.join(quiet.select("pos"), "pos", "left_semi"))
+        sources = rows.where("loud").unionByName(rows.join(dealt(quiet.select("pos")), "pos", "left_semi"))
 
 
 def _changed_articles(articles: DataFrame, settled: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _changed_articles(articles: DataFrame, settled: DataFrame) -> DataFrame:
     touched = settled.where("NOT creates AND NOT rejected").groupBy(col("met").alias("node")).agg(
         F.max(~col("known") | col("dates")).alias("n_observed")
     )
-    joined = articles.join(altered, "node", "left").join(touched, "node", "left")
+    joined = articles.join(dealt(altered), "node", "left").join(dealt(touched), "node", "left")
     is_new = col("n_changed").isNotNull()
     columns = []
     for name in FIELDS:
@@ -240,12 +240,12 @@ def _changed_articles(articles: DataFrame, settled: DataFrame) -> DataFrame:
 def _reachable(pending, articles, keys, aliases, near) -> DataFrame:
     """``(node)`` of the articles that pending candidates can meet or change."""
     urls = pending.select("url_hash").distinct()
-    prints = pending.select("fingerprint").distinct().join(near, "fingerprint").select(F.col("other").alias("fingerprint"))
+    prints = pending.select("fingerprint").distinct().join(dealt(near), "fingerprint").select(F.col("other").alias("fingerprint"))
     return (
         keys.select(F.col("k_node").alias("node"))
         .unionByName(aliases.select("node"))
-        .unionByName(articles.join(urls, "url_hash", "left_semi").select("node"))
-        .unionByName(articles.join(prints.distinct(), "fingerprint", "left_semi").select("node"))
+        .unionByName(articles.join(dealt(urls), "url_hash", "left_semi").select("node"))
+        .unionByName(articles.join(dealt(prints.distinct()), "fingerprint", "left_semi").select("node"))
         .distinct()
     )
 
@@ -263,14 +263,14 @@ def settle(
     pending = cut(_shared(candidates.select(*ASKED)))
     asked = pending.columns
     finished, decided = [], []
-    keys = cut(keys.join(pending.select(*KEY).distinct(), KEY, "left_semi"))
+    keys = cut(keys.join(dealt(pending.select(*KEY).distinct()), KEY, "left_semi"))
     urls = pending.select("url_hash").unionByName(keys.select(F.col("k_url").alias("url_hash"))).distinct()
-    aliases = cut(aliases.join(urls, "url_hash", "left_semi"))
-    articles = cut(articles.join(_reachable(pending, articles, keys, aliases, near), "node", "left_semi"))
+    aliases = cut(aliases.join(dealt(urls), "url_hash", "left_semi"))
+    articles = cut(articles.join(dealt(_reachable(pending, articles, keys, aliases, near)), "node", "left_semi"))
     while True:
         rows = cut(_looked_up(pending, articles, keys, aliases, near, settings))
         behind = _behind(rows, near, reach).select("pos", F.lit(True).alias("waits"))
-        told = cut(rows.join(behind, "pos", "left"))
+        told = cut(rows.join(dealt(behind), "pos", "left"))
         settled = told.where("waits IS NULL")
         decided.append(settled.select(
             "pos",
@@ -285,20 +285,20 @@ def settle(
         done = settled.where("adds").withColumn("node", F.coalesce("met", "pos"))
         fresh = done.select(*KEY, F.col("node").alias("k_node"), F.col("url_hash").alias("k_url"))
         keys = cut(
-            keys.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh)
-            .join(pending.select(*KEY).distinct(), KEY, "left_semi")
+            keys.join(dealt(fresh.select(*KEY)), KEY, "left_anti").unionByName(fresh)
+            .join(dealt(pending.select(*KEY).distinct()), KEY, "left_semi")
         )
         urls = pending.select("url_hash").unionByName(keys.select(F.col("k_url").alias("url_hash"))).distinct()
         one = F.lit(1).cast("bigint")
         moved = done.where("moves").select(F.col("k_url").alias("url_hash"), "node", (-one).alias("n"))
         aliases = cut(
             aliases.unionByName(done.select("url_hash", "node", one.alias("n"))).unionByName(moved)
-            .join(urls, "url_hash", "left_semi")
+            .join(dealt(urls), "url_hash", "left_semi")
             .groupBy("url_hash", "node").agg(F.sum("n").alias("n")).where("n > 0")
         )
         after = cut(after)
         live = _reachable(pending, after, keys, aliases, near).withColumn("live", F.lit(True))
-        after = cut(after.join(live, "node", "left"))
+        after = cut(after.join(dealt(live), "node", "left"))
         finished.append(after.where("live IS NULL").drop("live"))
         articles = after.where("live").drop("live")
     union = lambda tables: reduce(DataFrame.unionByName, tables)

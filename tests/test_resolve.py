@@ -154,3 +154,19 @@ def test_unusable_urls_are_rejected(spark):
     done = resolve.resolve_articles(frame, sources, articles, observations, AS_OF, SETTINGS)
     assert done.rejected.count() == 1
     assert done.articles.count() == 0
+
+
+def test_state_of_a_batch_is_not_broadcast(spark):
+    """A broadcast passes through the driver, and what is looked up grows with the batch."""
+    rows = [
+        ("ab"[i % 2], i, f"https://x.example/{i}", f"e{i}", f"t{i}", " ".join(f"w{i % 3}x{j}" for j in range(12)), "feed_full", "", AS_OF)
+        for i in range(12)
+    ]
+    batch = spark.createDataFrame(rows, COLUMNS).withColumn("metadata", F.to_variant_object(F.struct("position")))
+    sources = spark.createDataFrame(SOURCES, "source_id string, name string, authority_score int")
+    articles, seen = resolve.empty_state(spark)
+    done = resolve.resolve_articles(batch, sources, articles, seen, AS_OF, SETTINGS)
+    for table in (done.outcomes, done.articles, done.changed):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    created = done.outcomes.where("created").count()
+    assert created == done.articles.count() == 3
