@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import text_of
-from eventlens.llm.encode import WordEncoder, in_slices
+from eventlens.llm.encode import in_slices, word_encoder
 from eventlens.session import cut
 
 TOKENS, SEGMENTS, LOSS = 4_096, 512, 4_096
@@ -44,7 +44,7 @@ def _pieces(tokenizer: str, end_id: int, tokens: int, loss: int):
     most = min(tokens, loss)
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             docs, rows, texts = (batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))
             for a, b in in_slices(texts, SLICE):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import text_of
-from eventlens.llm.encode import WordEncoder, in_slices
+from eventlens.llm.encode import in_slices, word_encoder
 from eventlens.session import checkpoint_root
 
 #: Selector k packs COUNTS[k] ids of WIDTHS[k] bits; selector 15 marks an escape.
@@ -154,7 +154,7 @@ def _packed(tokenizer: str, end_id: int):
         )
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         shard = TaskContext.get().partitionId()
         number, before = 0, 0
         for batch in batches:

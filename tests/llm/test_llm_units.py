@@ -4,6 +4,7 @@ import collections
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -46,6 +47,37 @@ def test_word_ids_equal_the_library(words, texts):
     assert runs(*own.encode(texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.text(st.sampled_from(list("aBÉßÿ×÷ .,;:!?&*%$#)'(-|\u0338\u0301")), max_size=40), max_size=12))
+def test_words_with_tails_equal_the_library(words, texts):
+    own, library = words
+    assert runs(*own.encode(texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_dictionary_that_starts_anew_gives_the_same_ids(words, monkeypatch):
+    own, library = words
+    monkeypatch.setattr(encode, "MOST_PIECES", 5)
+    for texts in (["one two, three***", "Été! ÉTÉ été."], ["two three*** four", "x'll Été! été"], ["été. one"]):
+        assert runs(*own.encode(texts)) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_worker_loads_its_vocabulary_once(monkeypatch):
+    loads = []
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            loads.append(path)
+            return Tokenizer.from_file(path)
+
+    monkeypatch.setattr(encode, "Tokenizer", Counted)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "row": [1, 2], "text": ["one two", ""]})
+    tasks = [list(packing._pieces(path, 2, 4_096, 4_096)([batch])) for _ in range(3)]
+    assert tasks[0] == tasks[1] == tasks[2]
+    assert len(loads) <= 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(texts=text_lists)
 def test_byte_ids_equal_the_library_and_decode(byte_level, texts):
