@@ -44,7 +44,7 @@ from eventlens.session import cut
 SPAN, GRAM, LETTER = 200, 40, 50
 WIDTH = SPAN - GRAM + 1
 #: Bytes of a shard, and contents of a minimiser beyond which its windows are counted one by one.
-SHARD, MOST_CONTENTS = 1 << 18, 4_096
+SHARD, MOST_CONTENTS = 1 << 17, 4_096
 #: Characters handled at once where segments are found.
 SLICE = 300_000
 NO_HASH = np.uint64((1 << 64) - 1)
@@ -79,18 +79,19 @@ def segments(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < SPAN:
         return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
     rolling = Rolling(data)
-    grams = rolling.of(np.arange(len(data) - GRAM + 1), np.arange(GRAM, len(data) + 1))
+    grams = rolling.of(slice(0, len(data) - GRAM + 1), slice(GRAM, len(data) + 1))
     least = _sliding(grams, WIDTH, np.minimum, NO_HASH)
     ends = np.cumsum(sizes)
     owner_doc = np.repeat(np.arange(len(sizes)), sizes)[:len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + SPAN <= ends[owner_doc])
+    starts = np.flatnonzero(np.arange(len(least)) <= np.repeat(ends - SPAN, sizes)[:len(least)])
     if not len(starts):
         return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
     # Places that are the minimum of some window, then the first of them at or after each start
     # that has the window's minimum.
     around = np.concatenate([np.zeros(WIDTH - 1, np.uint64), least, np.zeros(WIDTH - 1, np.uint64)])
-    places = np.flatnonzero(_sliding(around, WIDTH, np.maximum, np.uint64(0)) == grams)
-    at = np.searchsorted(places, starts)
+    least_of_some = _sliding(around, WIDTH, np.maximum, np.uint64(0)) == grams
+    places = np.flatnonzero(least_of_some)
+    at = (np.cumsum(least_of_some) - least_of_some)[starts]  # places before each start
     wanted = least[starts]
     wrong = np.flatnonzero(grams[places[at]] != wanted)
     while len(wrong):
@@ -167,6 +168,32 @@ def _fetched(batches):
         )
 
 
+def ordered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(stable order, sorted numbers)``. Numbers are sorted with their places in the low bits, which
+    is several times as fast as an argsort; where large ones lose bits that way, the order is checked."""
+    x = x.astype(np.uint64, copy=False)
+    bits = np.uint64(len(x).bit_length())
+    small = not len(x) or not int(x.max()) >> (64 - int(bits))
+    keys = x << bits if small else x >> bits << bits
+    keys |= np.arange(len(x), dtype=np.uint64)
+    keys.sort()
+    keys &= (np.uint64(1) << bits) - np.uint64(1)
+    order = keys.view(np.int64)
+    found = x[order]
+    if not small and (found[1:] < found[:-1]).any():
+        order = np.argsort(x, kind="stable")
+        found = x[order]
+    return order, found
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(ranks from 0, stable order)``."""
+    order, found = ordered(x)
+    rank = np.zeros(len(x), np.int64)
+    rank[order[1:]] = np.cumsum(found[1:] != found[:-1])
+    return rank, order
+
+
 class Shard:
     """Letters, suffix order and transform of some segments."""
 
@@ -180,104 +207,97 @@ class Shard:
         # Letters are hashes; a suffix too short for one ends its string with a stop of its own.
         self.letter = (np.uint64(base) + place.astype(np.uint64)) | np.uint64(1 << 63)
         self.letter[whole] = Rolling(data).of(whole, whole + LETTER) >> np.uint64(1)
-        self.after = np.where(place + LETTER < ends, place + LETTER, n)
-        rank = np.unique(self.letter, return_inverse=True)[1].ravel() + 1
-        reach, jump = 1, self.after
+        jump = np.where(place + LETTER < ends, place + LETTER, n)
+        rank, self.order = ranked(self.letter)
+        reach = 1
         while reach < SPAN // LETTER:  # orders by twice as many letters
-            key = rank.astype(np.int64) * (n + 2) + np.concatenate([rank, [0]])[jump]
-            rank = np.unique(key, return_inverse=True)[1].ravel() + 1
+            rank += 1
+            rank, self.order = ranked(rank * (n + 2) + np.concatenate([rank, [0]])[jump])
             jump = np.concatenate([jump, [n]])[jump]
             reach *= 2
-        self.order = np.argsort(rank, kind="stable")
         starts = np.cumsum(sizes) - sizes
-        before = self.order - LETTER
-        inside = before >= np.repeat(starts, sizes)[self.order]
-        # The letter before each suffix; none before the first suffix of a string.
-        self.transform = np.where(inside, self.letter[np.maximum(before, 0)], np.uint64(0))
-        self.inside = inside
+        # Whether a letter stands before each suffix: none before the first suffixes of a string.
+        self.inside = self.order - LETTER >= np.repeat(starts, sizes)[self.order]
         self.rest = np.flatnonzero(place + LETTER >= ends)  # suffixes that no other precedes
-        self.size, self.segment = n, np.repeat(np.arange(len(parts)), sizes)
-        self.start = place - np.repeat(starts, sizes)
+        self.size, self.segment = n, np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+        self.start = (place - np.repeat(starts, sizes)).astype(np.int32)
 
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """``(interleave, block)``: the shard number of every merged suffix in order, and numbers that
     are equal for suffixes that agree in ``SPAN`` bytes."""
     # One code per distinct letter, in one order for all shards.
-    codes = np.unique(np.concatenate([s.letter for s in shards]), return_inverse=True)[1].ravel()
+    codes = ranked(np.concatenate([s.letter for s in shards]))[0]
     bounds = np.cumsum([0] + [s.size for s in shards])
     letters = [codes[a:b] for a, b in zip(bounds, bounds[1:])]
     # Transform letters as codes, in each shard's suffix order.
-    transforms = [
+    transforms = np.concatenate([
         np.where(s.inside, c[np.maximum(s.order - LETTER, 0)], -1) for s, c in zip(shards, letters)
-    ]
+    ])
+    kind = np.uint16 if len(shards) < 1 << 16 else np.int64  # numpy sorts the former by radix
     tails = np.concatenate([c[s.rest] for s, c in zip(shards, letters)])
-    tail_shards = np.concatenate([np.full(len(s.rest), k) for k, s in enumerate(shards)])
-    interleave = np.concatenate([np.full(s.size, k, np.int32) for k, s in enumerate(shards)])
+    tail_shards = np.repeat(np.arange(len(shards)), [len(s.rest) for s in shards]).astype(kind)
+    interleave = np.repeat(np.arange(len(shards)), [s.size for s in shards]).astype(kind)
     block = np.zeros(len(interleave), np.int64)
     for depth in range(SPAN // LETTER):
         # The transform letters in interleave order: each shard's in its own order.
         sequence = np.empty(len(interleave), np.int64)
-        for k in range(len(shards)):
-            sequence[interleave == k] = transforms[k]
-        real = sequence >= 0
+        sequence[np.argsort(interleave, kind="stable")] = transforms
+        real = np.flatnonzero(sequence >= 0)
         # Suffixes at a string's end precede nothing: they come before all longer ones of a letter.
-        letter = np.concatenate([tails, sequence[real]])
-        shard = np.concatenate([tail_shards, interleave[real]])
+        order, letter = ordered(np.concatenate([tails, sequence[real]]))
         # A string's last letter agrees with others at the first depth only.
         alone = np.zeros(len(tails), np.int64) if depth == 0 else -1 - np.arange(len(tails))
-        beyond = np.concatenate([alone, block[real]])
-        order = np.argsort(letter, kind="stable")
-        letter, interleave, beyond = letter[order], shard[order].astype(np.int32), beyond[order]
+        beyond = np.concatenate([alone, block[real]])[order]
+        interleave = np.concatenate([tail_shards, interleave[real]])[order]
         block = np.cumsum(np.concatenate([[0], (letter[1:] != letter[:-1]) | (beyond[1:] != beyond[:-1])]))
     return interleave, block
 
 
-def repeated_starts(parts: list[bytes]) -> list[np.ndarray]:
-    """Per segment, the starts whose ``SPAN`` bytes occur at another place too."""
+def repeated(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``(segment, start)``, in order, of the ``SPAN`` bytes that occur at another place too."""
     shards, at, size, base = [], 0, 0, 0
-    groups = []
+    firsts = []
     for k, part in enumerate(parts):
         size += len(part)
         if size >= SHARD or k + 1 == len(parts):
             shards.append(Shard(parts[at:k + 1], base))
-            groups.append(at)
+            firsts.append(at)
             at, base, size = k + 1, base + size, 0
     interleave, block = merge(shards)
     twice = np.bincount(block)[block] > 1
-    out: list[np.ndarray] = []
-    for k, shard in enumerate(shards):
-        mine = shard.order[twice[interleave == k]]
-        mine = np.sort(mine)
-        cuts = np.searchsorted(shard.segment[mine], np.arange(shard.segment[-1] + 2))
-        out += [shard.start[mine[a:b]] for a, b in zip(cuts, cuts[1:])]
-    return out
+    own = [np.sort(s.order[twice[interleave == k]]) for k, s in enumerate(shards)]
+    return (
+        np.concatenate([s.segment[mine] + first for s, mine, first in zip(shards, own, firsts)]),
+        np.concatenate([s.start[mine] for s, mine in zip(shards, own)]),
+    )
 
 
-def spans(starts: np.ndarray) -> list[tuple[int, int]]:
-    """The union of the windows at ascending starts."""
-    if not len(starts):
-        return []
-    gaps = np.flatnonzero(np.diff(starts) > SPAN)
-    lows = starts[np.concatenate([[0], gaps + 1])]
-    highs = starts[np.concatenate([gaps, [len(starts) - 1]])] + SPAN
-    return list(zip(lows.tolist(), highs.tolist()))
+def repeated_starts(parts: list[bytes]) -> list[np.ndarray]:
+    """Per segment, the starts whose ``SPAN`` bytes occur at another place too."""
+    segment, start = repeated(parts)
+    cuts = np.searchsorted(segment, np.arange(len(parts) + 1))
+    return [start[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def spans(segment: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(segment, from, to)``: the union of the windows at each segment's ascending starts."""
+    if not len(start):
+        return segment, start, start
+    breaks = np.flatnonzero((np.diff(start) > SPAN) | (segment[1:] != segment[:-1]))
+    low = np.concatenate([[0], breaks + 1])
+    high = np.concatenate([breaks, [len(start) - 1]])
+    return segment[low], start[low], start[high] + SPAN
 
 
 def _merged(batches):
     """Repeated spans per content, for a task's segments in minimiser order."""
 
     def told(keys, parts):
-        gram, content, low, high = [], [], [], []
-        for (g, c), starts in zip(keys, repeated_starts(parts)):
-            for a, b in spans(starts):
-                gram.append(g)
-                content.append(c)
-                low.append(a)
-                high.append(b)
+        segment, low, high = spans(*repeated(parts))
+        gram, content = np.array(keys, np.int64)[segment].T
         return pa.RecordBatch.from_arrays(
-            [pa.array(gram, pa.int64()), pa.array(content, pa.int64()),
-             pa.array(low, pa.int32()), pa.array(high, pa.int32())],
+            [pa.array(gram), pa.array(content), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
             names=["gram", "content", "from", "to"],
         )
 
@@ -285,7 +305,9 @@ def _merged(batches):
     parts: list[bytes] = []
     size = 0
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "data")))
+        rows = zip(*(
+            batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("gram", "content", "data")
+        ))
         for gram, content, data in rows:
             if size >= 4 * SHARD and gram != keys[-1][0]:  # all contents of a minimiser are together
                 yield told(keys, parts)

@@ -162,6 +162,21 @@ def test_every_window_lies_in_one_segment():
     assert (low >= begin[doc]).all() and (high + 200 <= (begin + sizes)[doc]).all()
 
 
+def test_order_is_stable_where_places_hide_low_bits():
+    close = np.array([(1 << 63) + 3, (1 << 63) + 1, (1 << 63) + 3, (1 << 63) + 2] * 5, np.uint64)
+    for x in (close, close >> np.uint64(60), np.random.default_rng(1).integers(0, 9, 500), np.zeros(0, np.int64)):
+        order, found = suffixes.ordered(x)
+        assert order.tolist() == np.argsort(x, kind="stable").tolist()
+        assert found.tolist() == sorted(x.tolist())
+        assert suffixes.ranked(x)[0].tolist() == np.unique(x, return_inverse=True)[1].ravel().tolist()
+
+
+def test_spans_do_not_run_from_one_segment_into_the_next():
+    segment, start = np.array([0, 0, 0, 2, 2]), np.array([5, 205, 406, 406, 407])
+    told = [x.tolist() for x in suffixes.spans(segment, start)]
+    assert told == [[0, 0, 2], [5, 406, 406], [405, 606, 607]]
+
+
 def test_packing_keeps_all_limits():
     rng = np.random.default_rng(2)
     length = np.concatenate([rng.integers(1, 4096, 300), rng.integers(1, 30, 700)])
