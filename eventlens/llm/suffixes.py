@@ -399,10 +399,9 @@ def covered(texts: DataFrame) -> DataFrame:
     light = examples(F.col("kinds") <= MOST_CONTENTS).repartition("gram").sortWithinPartitions("gram", "content")
     repeated = repeated.unionByName(light.mapInArrow(_released(_merged), span))
     if shared.where(F.col("kinds") > MOST_CONTENTS).limit(1).count():
-        windows = cut(
-            examples(F.col("kinds") > MOST_CONTENTS).mapInArrow(
-                _window_hashes, "gram long, content long, window long, `from` int"
-            )
+        # Not stored: in one plan with the light minimisers, texts are dealt out once for both.
+        windows = examples(F.col("kinds") > MOST_CONTENTS).mapInArrow(
+            _window_hashes, "gram long, content long, window long, `from` int"
         )
         often = windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         repeated = repeated.unionByName(

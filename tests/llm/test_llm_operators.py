@@ -202,6 +202,23 @@ def test_repeats_removed(docs, nothing, monkeypatch, most):
     assert suffixes.drop_repeats(short).columns == docs.columns
 
 
+def test_light_and_heavy_minimisers_share_one_shuffle_of_texts(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(suffixes, "cut", lambda df: stored.append(df) or cut(df))
+    monkeypatch.setattr(suffixes, "MOST_CONTENTS", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        suffixes.covered(table(spark, SMALL, "documents").select(F.col("doc_id").alias("row"), "text"))
+        assert len(stored) == 2
+        stored[1].collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = stored[1]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"ReusedExchange \[row#\w+, text#\w+\]", plan)
+    shuffles = re.findall(r"Exchange hashpartitioning\(row#.*\n.*Project \[doc_id#\w+ AS row#\w+, text#", plan)
+    assert len(shuffles) <= 1, plan
+
+
 def test_token_files(spark, docs, nothing):
     library = Tokenizer.from_file(WORDS)
     coded = [(d, library.encode(t or "", add_special_tokens=False).ids + [1]) for d, t in TEXTS]
