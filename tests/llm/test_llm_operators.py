@@ -293,6 +293,38 @@ def test_metric_join_equals_brute_force(spark, monkeypatch):
     assert metric_join.range_join(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("spread, width", [(0.25, 8), (9.0, 32)])  # pivots prune, and do not
+def test_metric_join_deals_a_row_per_block_not_per_pair_of_blocks(spark, monkeypatch, spread, width):
+    rng = np.random.default_rng(1)
+    wide = rng.normal(size=(12, width))[np.arange(600) % 12] + spread * rng.normal(size=(600, width))
+    wide[300:360] = wide[:60] + 0.01 * rng.normal(size=(60, width))
+    wide = wide.astype(np.float32)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(wide)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = metric_join._units(wide.astype(np.float64))
+    wanted = (unit @ unit.T >= 0.93).sum(1) - 1
+    monkeypatch.setattr(metric_join, "BLOCK", 32)
+    monkeypatch.setattr(metric_join, "HELD_BYTES", 32 * 8 * width)
+    written = []
+    monkeypatch.setattr(metric_join, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = {r.vec_id: r.n_links for r in metric_join.range_join(frame).collect()}
+    assert [got[k] for k in range(600)] == wanted.tolist() and wanted.max() > 0
+    cells = next(t for t in written if "owner" in t.columns)
+    sizes = next(t for t in written if "blocks" in t.columns)
+    copies = F.sum(F.when(F.col("owner"), (F.col("blocks") + 1) / 2).otherwise(F.col("blocks")))
+    dealt = cells.join(sizes, ["label", "width", "cell"]).agg(copies).first()[0] / 600
+    assert dealt <= 600 / 32  # about one copy for each block; pairs of blocks would be 361
+
+
+def test_metric_join_forest_keeps_components_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "TILE", 8)
+    monkeypatch.setattr(metric_join, "BLOCK", 16)
+    turn = np.linspace(0, np.pi / 2, 41)  # a chain: only neighbours reach the limit
+    rows = [(k * 37 % 41, [float(np.cos(a)), float(np.sin(a))], 0) for k, a in enumerate(turn * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.component_id for r in metric_join.range_join(frame).collect()} == {0}
+
+
 def test_preference_turns(spark):
     schema = "pair_id long, turn long, role string, text string, side string"
     chosen = [(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, "user", None, ""), (2, 0, "user", "", ""),
