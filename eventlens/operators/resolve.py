@@ -51,8 +51,9 @@ def empty_state(spark) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], ARTICLES), spark.createDataFrame([], OBSERVATIONS)
 
 
-def _prepared(candidates: DataFrame, order: list[Column], settings: Settings) -> DataFrame:
-    """Candidates in processing order with everything replay compares."""
+def _prepared(candidates: DataFrame, order: list[Column], settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Candidates without their bodies in processing order, with everything replay compares, and
+    ``(row, body)``. A body is read once, where it is, and takes no part in the sort."""
     spelled = candidates.withColumn("canonical_url", urls.canonical_url("url"))
     ext = F.when(F.coalesce("external_id", F.lit("")) == "", F.col("canonical_url")).otherwise(
         F.col("external_id")
@@ -66,11 +67,12 @@ def _prepared(candidates: DataFrame, order: list[Column], settings: Settings) ->
             "title_hash": F.md5("title"),
             "body_hash": F.md5(body),
             "words": tx.word_count(body),
-            "blank": tx.squeeze(body) == "",
+            "blank": tx.is_blank(body),
         }
     )
-    placed = scans.positioned(rows, order, "pos")
-    return cut(simhash.with_fingerprint(placed, "body", settings.simhash_min_words, settings.simhash_hash))
+    printed = simhash.with_fingerprint(rows, "body", settings.simhash_min_words, settings.simhash_hash)
+    told = cut(printed.withColumn("row", F.monotonically_increasing_id()))
+    return scans.positioned(told.drop("body"), order, "pos"), told.select("row", "body")
 
 
 def _near(good: DataFrame, seeds: DataFrame, settings: Settings) -> DataFrame:
@@ -129,7 +131,7 @@ def resolve_articles(
         sources.select("source_id", "name", F.col("authority_score").alias("authority")), "source_id"
     )
     order = [F.desc("authority"), F.asc("name"), F.asc("source_id"), F.asc("position")]
-    prepared = _prepared(ranked, order, settings)
+    prepared, bodies = _prepared(ranked, order, settings)
     good = prepared.where(F.col("canonical_url").isNotNull())
     seeds = cut(_seed_state(articles, sources))
     now = F.unix_micros(nm.moment(as_of))
@@ -145,10 +147,10 @@ def resolve_articles(
     keys = seen.select(*KEY, F.col("node").alias("k_node"), F.col("url_hash").alias("k_url"))
     aliases = seen.groupBy("url_hash", "node").agg(F.count(F.lit(1)).alias("n"))
     state, decided = wavefront.settle(narrow, seeds, keys, aliases, _near(good, seeds, settings), settings)
-    return _finish(prepared, good, decided, state, articles, observations, as_of)
+    return _finish(prepared, bodies, good, decided, state, articles, observations, as_of)
 
 
-def _finish(prepared, good, decided, state, articles, observations, as_of) -> Resolved:
+def _finish(prepared, bodies, good, decided, state, articles, observations, as_of) -> Resolved:
     """Turn pointers back into rows."""
     now = nm.moment(as_of)
     touched = state.where("hit")
@@ -157,7 +159,8 @@ def _finish(prepared, good, decided, state, articles, observations, as_of) -> Re
         F.col("canonical_url").alias("o_canonical_url"), F.col("metadata").alias("o_metadata"),
     )
     title = good.select(F.col("pos").alias("title_pos"), F.col("title").alias("t_title"))
-    body = good.select(F.col("pos").alias("body_pos"), F.col("body").alias("b_body"))
+    place = good.select(F.col("pos").alias("body_pos"), F.col("row").alias("body_row"))
+    body = bodies.select(F.col("row").alias("body_row"), F.col("body").alias("b_body"))
     author = good.select(F.col("pos").alias("author_pos"), F.col("author").alias("a_author"))
     old = articles.select(
         "article_id",
@@ -168,7 +171,8 @@ def _finish(prepared, good, decided, state, articles, observations, as_of) -> Re
         touched.join(dealt(old), "article_id", "left")
         .join(dealt(owner), "owner_pos", "left")
         .join(dealt(title), "title_pos", "left")
-        .join(dealt(body), "body_pos", "left")
+        .join(dealt(place), "body_pos", "left")
+        .join(dealt(body), "body_row", "left")
         .join(dealt(author), "author_pos", "left")
     )
 

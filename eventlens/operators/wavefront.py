@@ -13,8 +13,13 @@ URL, alias, fingerprint, article), so no task ever holds a connected group of ca
   quiet candidate behind a barrier may turn loud and becomes a barrier itself, until nothing changes.
 * Candidates in front of every barrier they meet are settled. Quiet ones see the state as it was;
   of the loud ones at most one writes each row.
-* A new article comes after all others, so it is no barrier to candidates that meet an article
-  already; it is one to those that meet none, within the window of near-equal texts.
+* A *plain* candidate meets none, brings a date, and shares neither key nor URL with another one. It
+  can meet an article by its text only, and one that comes to exist or to change before its turn has at
+  least its authority, since candidates come in order of falling authority. So it makes an article or
+  joins one without taking it over: to other plain candidates, and to quiet ones that meet an article by
+  its text, it is a barrier within the window of near-equal texts only, and to the latter only from
+  before the article they meet. Such a quiet candidate meets the one or the other and writes nothing
+  that others read, so it is no barrier itself.
 
 The earliest pending candidate is always settled. A round shrinks the state to what pending
 candidates can still reach: an article that none meets now gains nothing by which it could be met
@@ -82,7 +87,7 @@ def _copies(open_: DataFrame, articles: DataFrame, near: DataFrame, settings: Se
     return (
         asked.join(dealt(held), ["other", "stretch"])
         .where(ratio.between(settings.near_dup_low, settings.near_dup_high))
-        .where(F.abs(F.col("moment") - F.col("event")) <= reach)
+        .where((F.abs(F.col("moment") - F.col("event")) <= reach) & (F.col("node") < F.col("pos")))
         .groupBy("pos").agg(F.min("node").alias("c_node"))
     )
 
@@ -129,15 +134,18 @@ def _looked_up(pending, articles, keys, aliases, near, settings: Settings) -> Da
     loud = col("creates") | (
         ~col("rejected") & (alters | col("moves") | (adds & col("many_keys")) | (seen_alias & col("many_urls")))
     )
-    return rows.withColumns({"adds": adds, "alters": ~col("rejected") & alters, "loud": loud})
+    plain = col("creates") & ~col("many_keys") & ~col("many_urls") & col("published").isNotNull()
+    return rows.withColumns({"adds": adds, "alters": ~col("rejected") & alters, "loud": loud, "plain": plain})
 
 
 def _met(rows: DataFrame, reach: int) -> DataFrame:
-    """``(pos, resource)`` that a candidate reads or may write."""
+    """``(pos, resource)`` that a candidate reads or may write, ``bound``: the position up to which it
+    matters when that is written, and ``mild``: whether it can only make the candidate quiet."""
     stretch = F.floor(F.col("event") / reach)
     open_ = F.col("k_node").isNull() & F.col("u_node").isNull() & F.col("al_node").isNull()
     asks = open_ & F.col("fingerprint").isNotNull()
-    named = [
+    writes = F.col("loud") & ~F.col("plain")
+    mine = [
         _named("key", *KEY),
         _named("url", "url_hash"),
         F.when(F.col("moves"), _named("url", "k_url")),
@@ -146,9 +154,22 @@ def _met(rows: DataFrame, reach: int) -> DataFrame:
         F.when(F.col("loud") & F.col("al_url").isNotNull(), _named("url", "al_url")),
         F.when(asks | (F.col("loud") & F.col("fingerprint").isNotNull()), _named("changed print", "fingerprint")),
         F.when(F.col("loud") & F.col("m_fingerprint").isNotNull(), _named("changed print", "m_fingerprint")),
+        F.when(writes & F.col("fingerprint").isNotNull(), _named("plain print", "fingerprint")),
+        F.when(writes & F.col("m_fingerprint").isNotNull(), _named("plain print", "m_fingerprint")),
         F.when(asks & F.col("creates"), _named("new print", "fingerprint", stretch)),
     ]
-    return rows.select("pos", "loud", F.explode(F.array_distinct(F.array_compact(F.array(*named)))).alias("resource"))
+    mild = F.when(asks & F.col("c_node").isNotNull(), _named("new print", "fingerprint", stretch))
+
+    def read(resources, bound: str, is_mild: bool):
+        return F.transform(
+            resources, lambda r: F.struct(r.alias("resource"), F.col(bound).alias("bound"), F.lit(is_mild).alias("mild"))
+        )
+
+    every = F.concat(
+        read(F.array_distinct(F.array_compact(F.array(*mine))), "pos", False),
+        read(F.array_compact(F.array(mild)), "c_node", True),
+    )
+    return rows.select("pos", "loud", F.inline(every))
 
 
 def _barriers(sources: DataFrame, near: DataFrame, reach: int) -> DataFrame:
@@ -162,9 +183,13 @@ def _barriers(sources: DataFrame, near: DataFrame, reach: int) -> DataFrame:
     direct = sources.select("pos", F.explode(F.array_compact(F.array(*named))).alias("resource"))
     prints = F.array_compact(F.array("fingerprint", "m_fingerprint", "al_print"))
     changed = (
-        sources.select("pos", F.explode(prints).alias("other"))
-        .groupBy("other").agg(F.min("pos").alias("pos"))
-        .join(dealt(near), "other").select("pos", _named("changed print", "fingerprint").alias("resource"))
+        sources.select("pos", "plain", F.explode(prints).alias("other"))
+        .groupBy("other", "plain").agg(F.min("pos").alias("pos"))
+        .join(dealt(near), "other").select(
+            "pos",
+            F.when(F.col("plain"), _named("plain print", "fingerprint"))
+            .otherwise(_named("changed print", "fingerprint")).alias("resource"),
+        )
     )
     stretch = F.floor(F.col("event") / reach)
     made = (
@@ -179,16 +204,15 @@ def _barriers(sources: DataFrame, near: DataFrame, reach: int) -> DataFrame:
 
 
 def _behind(rows: DataFrame, near: DataFrame, reach: int) -> DataFrame:
-    """``(pos, loud)`` of the candidates that are behind a barrier."""
+    """``(pos, loud, mild)`` of the candidates that are behind a barrier."""
     met = cut(_met(rows, reach))
     sources, n = rows.where("loud"), 0
     while True:
         behind = cut(
-            met.join(dealt(_barriers(sources, near, reach)), "resource")
-            .groupBy("pos").agg(F.min("loud").alias("loud"), F.min("barrier").alias("barrier"))
-            .where("barrier < pos").select("pos", "loud")
+            met.join(dealt(_barriers(sources, near, reach)), "resource").where("barrier < bound")
+            .groupBy("pos").agg(F.min("loud").alias("loud"), F.min("mild").alias("mild"))
         )
-        quiet = behind.where("NOT loud")
+        quiet = behind.where("NOT loud AND NOT mild")
         turned = quiet.count()
         if turned == n:
             return behind
@@ -253,8 +277,9 @@ def _reachable(pending, articles, keys, aliases, near) -> DataFrame:
 def settle(
     candidates: DataFrame, articles: DataFrame, keys: DataFrame, aliases: DataFrame, near: DataFrame, settings: Settings
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply ``candidates`` (``ASKED``) in order of ``pos``; returns the articles that were met or
-    made (``STATE``) and ``(pos, article_id, created)``, where a rejected candidate has no article.
+    """Apply ``candidates`` (``ASKED``) in order of ``pos``, in which their authority never rises;
+    returns the articles that were met or made (``STATE``) and ``(pos, article_id, created)``, where a
+    rejected candidate has no article.
 
     ``keys``: source_id, external_id, k_node, k_url; ``aliases``: url_hash, node, n; ``near``: pairs
     ``(fingerprint, other)`` of near-equal fingerprints, in both directions and with themselves.

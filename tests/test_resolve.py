@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens.config import Settings
 from eventlens.functions import simhash
-from eventlens.operators import resolve
+from eventlens.operators import resolve, wavefront
 
 AS_OF = dt.datetime(2026, 9, 13, 12)
 SETTINGS = Settings(simhash_min_words=8)
@@ -144,6 +144,35 @@ def test_batches_equal_sequential_pass(spark):
     assert len({r["article_id"] for r in got}) == len(got)
 
 
+def test_dated_near_copies_settle_in_few_rounds(spark, monkeypatch):
+    # Each has its own key and URL; what they meet hangs on the earlier ones' texts and times alone.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 40, 20)]
+    batch = [
+        dict(
+            source_id=rng.choice("abcd"), position=i, url=f"https://h.example/{i}", external_id=f"e{i}", title="t",
+            body=rng.choice(texts), body_kind="feed_full", author=None,
+            published_at=dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.randrange(240)),
+        )
+        for i in range(60)
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "body string")
+    prints = {r.body: r.fingerprint for r in simhash.fingerprints(frame, "body", "body", 8).collect()}
+    expected = Sequential(prints)
+    created = expected.run(batch, AS_OF)
+    rounds, look = [], wavefront._looked_up
+    monkeypatch.setattr(wavefront, "_looked_up", lambda *a: rounds.append(1) or look(*a))
+    candidates = spark.createDataFrame([tuple(c.values()) for c in batch], COLUMNS).withColumn(
+        "metadata", F.to_variant_object(F.struct("position"))
+    )
+    sources = spark.createDataFrame(SOURCES, "source_id string, name string, authority_score int")
+    done = resolve.resolve_articles(candidates, sources, *resolve.empty_state(spark), AS_OF, SETTINGS)
+    assert view(r.asDict() for r in done.articles.collect()) == view(expected.articles)
+    assert 5 < done.outcomes.where("created").count() == sum(created) < 55
+    assert len(rounds) <= 5
+
+
 def test_unusable_urls_are_rejected(spark):
     sources = spark.createDataFrame(SOURCES, "source_id string, name string, authority_score int")
     articles, observations = resolve.empty_state(spark)
