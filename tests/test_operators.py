@@ -170,6 +170,35 @@ def test_a_right_row_is_copied_per_block_not_per_pair_of_blocks(spark, monkeypat
     assert met.count() <= 400 * (1 + similarity.LEAST_BLOCKS)
 
 
+def test_a_right_row_goes_to_the_stretches_of_its_window(spark, monkeypatch):
+    for name, value in (("HELD_ROWS", 10), ("BLOCK_ROWS", 10)):
+        monkeypatch.setattr(similarity, name, value)
+    met, meet = [], similarity._meet
+    monkeypatch.setattr(similarity, "_meet", lambda *a: met.append(meet(*a)) or met[0])
+    rng = np.random.default_rng(9)
+    rows = [(i, i * 1_440_000_000, i, rng.normal(size=4).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id long, at long, rank long, vector array<float>")
+    got = {(r.left_id, r.right_id) for r in similarity.similar(frame, frame, 0.5, 24).collect()}
+    unit = np.array([r[3] for r in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.5
+    assert got == {(i, j) for i in range(600) for j in range(max(0, i - 60), i) if close[i, j]}
+    # Sixty rows a window in blocks of ten: six blocks and those cut by its ends, not twice six.
+    assert met[0].count() <= 600 * (1 + 6 + 2)
+
+
+def test_only_linked_articles_are_replayed(spark, monkeypatch):
+    given, replay = [], assignment.replay
+    monkeypatch.setattr(assignment, "replay", lambda items, *a: given.append(items) or replay(items, *a))
+    rows = [(i, START, START, [float(i % 4 == k) for k in range(4)], 1, 1, f"u{i}") for i in range(5)]
+    frame = spark.createDataFrame(
+        rows, "article_id long, published_at timestamp, fetched_at timestamp, embedding array<double>, authority int, words int, canonical_url string"
+    )
+    got = {r.article_id: (r.cluster_id, r.similarity_score) for r in assignment.assign_events(frame).collect()}
+    assert got == {0: (0, 1.0), 1: (1, 1.0), 2: (2, 1.0), 3: (3, 1.0), 4: (0, 1.0)}
+    assert given[0].count() == 2
+
+
 GOOD = '{"sentences":["a","b","c"]}'
 
 
